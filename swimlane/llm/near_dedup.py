@@ -1,12 +1,13 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 Method: a document's signature has 128 bits, each the majority over its distinct
-tokens.  It is cut into six segments; two signatures that differ in at most
-eleven bits differ by at most one bit in some segment (six segments with two or
-more would make twelve).  Each segment is indexed once for each of its bits, that
+tokens.  It is cut into seven segments; two signatures that differ in at most
+thirteen bits differ by at most one bit in some segment (seven segments with two
+or more would make fourteen).  Each segment is indexed once for each of its bits, that
 bit deleted, so segments one bit apart meet in an equality join; what meets is
-verified by the distance over all 128 bits.  No pair within eleven bits is lost
-and none beyond is kept.
+verified by the distance over all 128 bits.  No pair within thirteen bits is lost
+and none beyond is kept.  Fewer segments have longer keys and so fewer chance
+meetings in a larger corpus, but find only nearer copies (``segments``: 4 finds 7 bits).
 
 Plan: equal signatures are first collapsed to one row, so exact copies cost
 nothing further.  Variants carry two longs and an id, no text; they are
@@ -28,8 +29,7 @@ from pyspark.sql.window import Window
 from .common import checkpoint, fresh, id_text
 from .textkernel import Chunk, chunks, first_of_rows, mix
 
-SEGMENTS = (22, 22, 21, 21, 21, 21)
-DISTANCE = 2 * len(SEGMENTS) - 1
+SEGMENTS = 7
 _LANES = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.uint8).reshape(256, 8).copy().view(np.uint64)[:, 0]
 _U = np.uint64
 
@@ -89,10 +89,17 @@ def segment(s: np.ndarray, low: int, width: int) -> np.ndarray:
     return x & _U((1 << width) - 1)
 
 
-def variants(s: np.ndarray) -> np.ndarray:
+def widths(segments: int) -> list[int]:
+    """128 bits in segments as equal as can be."""
+    if not 4 <= segments <= 16:
+        raise ValueError("4 to 16 segments")
+    return [128 // segments + (i < 128 % segments) for i in range(segments)]
+
+
+def variants(s: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
     """(n, 128) keys: segment and deleted bit, and the bits that remain."""
     out, low, nth = [], 0, 0
-    for width in SEGMENTS:
+    for width in widths(segments):
         x = segment(s, low, width)
         for p in range(width):
             rest = (x & _U((1 << p) - 1)) | ((x >> _U(p + 1)) << _U(p))
@@ -125,7 +132,7 @@ def forest(s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def key_pairs(key: np.ndarray, s: np.ndarray, most: int = DISTANCE, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def key_pairs(key: np.ndarray, s: np.ndarray, most: int = 2 * SEGMENTS - 1, small: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within ``most`` bits among rows of equal keys, the keys sorted: all pairs where few share a key, else a forest."""
     n = len(key)
     starts = first_of_rows(key)
@@ -145,17 +152,16 @@ def key_pairs(key: np.ndarray, s: np.ndarray, most: int = DISTANCE, small: int =
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_pairs(distinct: DataFrame, most: int = DISTANCE) -> DataFrame:
+def near_pairs(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """(u, v), u < v: verified pairs of (node, s0, s1), enough to connect what all pairs connect."""
-    if most > DISTANCE:
-        raise ValueError(f"{len(SEGMENTS)} segments find pairs up to {DISTANCE} bits apart")
+    most = 2 * segments - 1
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
         for b in batches:
             for part in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
                 node, s0, s1 = (part.column(i).to_numpy() for i in range(3))
-                keys = variants(np.stack((s0, s1), axis=1).view(np.uint64))
+                keys = variants(np.stack((s0, s1), axis=1).view(np.uint64), segments)
                 k = keys.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(x, k)) for x in (node, s0, s1))], schema=schema)
 
@@ -208,25 +214,25 @@ def components(pairs: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, most: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept_id): each document that goes, with the one of its group that stays, the smallest id.
 
-    Groups are connected by signatures at most ``most`` bits apart.  Null, empty
+    Groups are connected by signatures at most ``2 * segments - 1`` of 128 bits apart.  Null, empty
     and blank texts have no signature and no group; a null id is left out; rows
     that share an id are one document, named once; an empty table gives an empty
     result.
     """
     sig = checkpoint(signatures(docs, id_col, text_col))
     distinct = checkpoint(sig.groupBy("s0", "s1").agg(F.min("doc_id").alias("node")))
-    roots = components(near_pairs(distinct, most))
+    roots = components(near_pairs(distinct, segments))
     nodes = distinct.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("kept_id"))
     return sig.join(nodes, ["s0", "s1"]).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id")).where("doc_id <> kept_id")
 
 
-def drop_near_duplicates(docs: DataFrame, most: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns; of rows that share an id and a text one stays; null ids and texts without a token stay."""
     gone_id, nth = fresh(docs, "swl_gone_id"), fresh(docs, "swl_nth")
-    gone = near_duplicates(docs, most, id_col, text_col).select(F.col("doc_id").alias(gone_id))
+    gone = near_duplicates(docs, segments, id_col, text_col).select(F.col("doc_id").alias(gone_id))
     kept = docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
     twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(gone_id)).count().where("count > 1").select(gone_id)
     if twice.isEmpty():  # as in a table with a key; else the rows of these ids, and only they, are compared
