@@ -194,11 +194,11 @@ def dedup_lines(docs: DataFrame, noise_words: int = NOISE_WORDS, window_words: i
     Null and empty texts, and rows whose id is null, come back as they are; texts
     under ``noise_words`` words hold no gram and never change.
     """
-    tk, cut = fresh(docs, "swl_tk"), fresh(docs, "swl_cut")
+    tk, cut, r_id, r_tk = (fresh(docs, f"swl_{c}") for c in ("tk", "cut", "r_id", "r_tk"))
     runs = repeated_runs(docs, noise_words, window_words, id_col, text_col)
-    cuts = runs.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("first", "last")).alias("runs")).select(F.col("doc_id").alias("swl_r_id"), F.col("tk").alias("swl_r_tk"), F.transform("runs", lambda r: r["first"].cast("long") * F.lit(1 << 32) + r["last"]).alias(cut))
+    cuts = runs.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("first", "last")).alias("runs")).select(F.col("doc_id").alias(r_id), F.col("tk").alias(r_tk), F.transform("runs", lambda r: r["first"].cast("long") * F.lit(1 << 32) + r["last"]).alias(cut))
     left = docs.withColumn(tk, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    joined = left.join(cuts, (F.col(id_col).cast("long") == F.col("swl_r_id")) & (F.col(tk) == F.col("swl_r_tk")), "left").select(*[left[c] for c in docs.columns], cuts[cut])
+    joined = left.join(cuts, (F.col(id_col).cast("long") == F.col(r_id)) & (F.col(tk) == F.col(r_tk)), "left").select(*docs.columns, cut)
     at, named, schema = docs.columns.index(text_col), docs.columns.index(id_col), docs.schema
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 

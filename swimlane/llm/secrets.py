@@ -3,7 +3,8 @@
 Method: a candidate is a string that a sensitive name is given (``password=``,
 ``token: "..."``, an authorisation header).  A compressor primed with a dictionary
 of code and identifiers compresses the text around the candidate once without and
-once with it; the difference is what the candidate adds.  Words, placeholders and
+once with it; the difference is what the candidate adds (its own copies nearby are left
+out of the surroundings).  Words, placeholders and
 identifiers, which the dictionary or the surroundings have, add little; a random
 key adds close to its entropy.  Candidates that add enough bytes, and enough for
 each character, are reported.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import batch, id_text
 
 AROUND = 400
-MIN_BYTES = 6
+MIN_BYTES = 8
 MIN_RATIO = 0.38
 NAMES = "api[_-]?key|access[_-]?key|secret|passwd|password|passphrase|pwd|token|credential|auth|bearer|private[_-]?key|client[_-]?secret|conn(?:ection)?[_-]?str(?:ing)?"
 SENSITIVE = re.compile(rf"""(?i)(?P<name>[\w.-]{{0,40}}?(?:{NAMES})[\w.-]{{0,24}})["']?\s{{0,3}}(?:[:=]{{1,2}}>?|\bis\b|\s)\s{{0,3}}(?:(?P<q>["'`])(?P<quoted>[^"'`\s]{{8,512}})(?P=q)|(?P<bare>[A-Za-z0-9+/_.~$!@#%^&*-]{{8,512}}={{0,2}}))""")
@@ -49,7 +50,7 @@ class Novelty:
         self.press = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False)
 
     def added(self, before: str, candidate: str, after: str) -> int:
-        around = (before + after).encode()
+        around = (before + after).replace(candidate, "").encode()  # a key that is repeated is no less a key
         return len(self.press.compress(around + candidate.encode())) - len(self.press.compress(around))
 
 
