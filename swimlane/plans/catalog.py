@@ -305,12 +305,12 @@ _TT = "t AS (SELECT n_name AS fish, n_regionkey AS line, o_orderpriority AS cond
 
 @query(f"""WITH {_TT}, a AS (SELECT fish, line, condition, epoch, avg(rate) AS rate FROM t GROUP BY ALL),
 k AS (SELECT epoch, avg(rate) AS control FROM a WHERE line = 0 AND condition = '1-URGENT' GROUP BY epoch)
-SELECT fish, line, condition, epoch, round(rate, 2) AS rate, round(rate - control, 2) AS delta FROM a LEFT JOIN k USING (epoch) WHERE NOT (line = 0 AND condition = '1-URGENT')""")
+SELECT fish, line, condition, epoch, round(rate, 7) AS rate, round(rate - control, 7) AS delta FROM a LEFT JOIN k USING (epoch) WHERE NOT (line = 0 AND condition = '1-URGENT')""")
 def baseline_delta(spark, d):
     control = (F.col("line") == 0) & (F.col("condition") == "1-URGENT")
     a = C.trial_average(trial_table(spark, d), ["fish", "line", "condition", "epoch"], ["rate"])
     out = C.without_control(C.baseline_delta(a, control, ["epoch"], "rate"), control)
-    return out.select("fish", "line", "condition", "epoch", F.round("rate", 2).alias("rate"), F.round("delta", 2).alias("delta"))
+    return out.select("fish", "line", "condition", "epoch", F.round("rate", 7).alias("rate"), F.round("delta", 7).alias("delta"))
 
 
 @query(f"WITH {_TT} SELECT fish, line || ' | ' || condition || ' | ' || epoch AS key, count(*) AS n FROM t WHERE condition NOT IN ('5-LOW', '3-MEDIUM') GROUP BY ALL")
