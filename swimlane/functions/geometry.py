@@ -24,11 +24,12 @@ def eye_angle(front_x, front_y, back_x, back_y, axis_x=0.0, axis_y=1.0, valid: C
 
 
 def angle_error(x1, y1, x2, y2) -> Column:
-    """Degrees between two headings: the first as given, the second made a unit vector; NULL for a zero vector."""
+    """Degrees between two headings: the first as given, the second made a unit vector; NaN for a zero vector, NULL for a missing one."""
     a, b, c, d = map(num, (x1, y1, x2, y2))
     norm = F.sqrt(c * c + d * d)
-    dot = F.try_divide(a * c + b * d, norm)
-    return F.degrees(F.acos(F.when(F.isnan(dot), dot).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))))
+    dot = F.when(norm == 0, F.lit(math.nan)).otherwise(F.try_divide(a * c + b * d, norm))
+    # greatest and least would take a NULL for a bound and a NaN for the upper one
+    return F.when(F.isnan(dot), dot).when(dot.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))))
 
 
 def distance(x1, y1, x2, y2) -> Column:

@@ -11,8 +11,10 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, overwrite
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """More rows for a table, in the same partitions that it was written with."""
+    w = df.write.mode("append")
+    (w.partitionBy(*by) if by else w).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False, append: bool = False) -> None:
