@@ -21,6 +21,7 @@ per-worker memo of automaton walks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -81,7 +82,7 @@ class Lexicon:
             node = self.trie
             for c in t.rstrip("*"):
                 node = node.setdefault(c, {})
-            node[""] = t
+            node["" if t[-1] != "*" else "*"] = t  # a word and a stem may end at one node
         self.memo: dict[str, tuple[str, int] | None] = {}
         self.head, self.head2, self.tail = (np.zeros(1 << 22, bool) for _ in range(3))
         self.stems: dict[int, np.ndarray] = {}
@@ -105,7 +106,7 @@ class Lexicon:
         while stack:
             node, r0, r1 = stack.pop()
             for c, nxt in node.items():
-                if c == "":
+                if c == "" or c == "*":
                     e = 0 if r0 & final or r0 and nxt[-1] == "*" else 1 if r1 & final else 2
                     if e <= allowed(nxt) and (best is None or (e, nxt) < (best[1], best[0])):
                         best = (nxt, e)
@@ -120,7 +121,7 @@ class Lexicon:
 
     def find(self, word: str) -> tuple[str, int] | None:
         if word not in self.memo:
-            if len(self.memo) > 1_000_000:  # a cache only: forgetting costs time, never results
+            if len(self.memo) > 300_000:  # a cache only: forgetting costs time, never results
                 self.memo.clear()
             self.memo[word] = self.walk(word)
         return self.memo[word]
@@ -182,6 +183,8 @@ class Lexicon:
 
 def strip(word: str) -> str:
     """The token without what is no letter, look-alike or byte above ASCII at its ends; one character at least stays."""
+    if word[:1].isalpha() and word[-1:].isalpha():
+        return word
     a, b, f = 0, len(word), fold(word) if word.isascii() else [fold(c)[:1] or c for c in word]
     ok = lambda c: "a" <= c <= "z" or c >= "\x80"
     while b - a > 1 and not ok(f[a]):
@@ -208,13 +211,13 @@ class Model:
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, base: dict[str, float] = LEXICON, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Add to the base lexicon the stems that mark toxic rows, from at most ``max_labelled`` labelled rows of either class.
+    """Add to the base lexicon the stems and words that mark toxic rows, from at most ``max_labelled`` labelled rows of either class.
 
     The rows are those of the smallest hashes of their ids.  A stem is a token's
     beginning of three to ten letters whose rate in toxic text is at least 20
-    times that in clean text and that stands between at least five different
-    pairs of neighbours, and one for every 100 toxic rows (copies of one text count
-    once).  The threshold is the
+    times that in clean text and that at least three toxic rows, and one in a hundred, have between
+    neighbours that no other row has it between (so copies of one text count once),
+    with a log-likelihood ratio beyond what the number of beginnings explains.  The threshold is the
     one that parts the sampled rows best, at 0.8 or above.  Without labelled rows of
     both classes the base lexicon is returned.  Null ids, texts and labels are
     left out; an id that is labelled both ways counts as either.
@@ -233,29 +236,40 @@ def fit(rows: list[tuple[int, str]], base: dict[str, float] = LEXICON) -> Model:
     """The model of ``learn_lexicon`` from (label, text) pairs."""
     rows = sorted(rows)
     seen: list[dict[str, int]] = [{}, {}]
-    words, contexts = [1, 1], set()
+    words, contexts, support = [1, 1], set(), {}
     for label, text in rows:
-        w = [strip(x.lower()) for x in text.split()]
+        w, new = [strip(x) for x in text.lower().split()], set()
         words[label] += len(w)
-        for i, x in enumerate(w):
-            key = (label, x, w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else "")
-            if len(x) >= 3 and key not in contexts:
+        for before, x, after in zip(["", *w], w, [*w[1:], ""]):
+            if len(x) >= 3 and (key := hash((label, x, before, after))) not in contexts:
                 contexts.add(key)
                 seen[label][x] = seen[label].get(x, 0) + 1
+                new.add(x)
+        if label:
+            for p in {x[:k] for x in new for k in range(3, min(10, len(x)) + 1)}:
+                support[p] = support.get(p, 0) + 1
+    least = max(3, 0.01 * sum(label for label, _ in rows))
     counts: list[dict[str, int]] = [{}, {}]
-    toxic_tokens = {x[:n] for x in seen[1] for n in range(3, min(10, len(x)) + 1)}
+    wanted = {p for p, n in support.items() if n >= least}
     for label in (0, 1):
         c = counts[label]
         for x, n in seen[label].items():
             for k in range(3, min(10, len(x)) + 1):
-                if (p := x[:k]) in toxic_tokens:
+                if (p := x[:k]) in wanted:
                     c[p] = c.get(p, 0) + n
-    odds = {p: (n / words[1]) / ((counts[0].get(p, 0) + 0.5) / words[0]) for p, n in counts[1].items() if n >= max(5, 0.01 * sum(label for label, _ in rows))}
-    good = {p: counts[1][p] for p, o in odds.items() if o >= 20}
+    odds = {p: (n / words[1]) / ((counts[0].get(p, 0) + 0.5) / words[0]) for p, n in counts[1].items()}
+    # log-likelihood ratio against the same rate in both classes; it must outweigh the number of beginnings that are tried
+    share = words[1] / sum(words)
+
+    def sure(p: str) -> float:
+        n, c = counts[1][p], counts[0].get(p, 0)
+        return n * math.log(n / (n + c) / share) + (c and c * math.log(c / (n + c) / (1 - share)))
+
+    good = {p: counts[1][p] for p, o in odds.items() if o >= 20 and sure(p) >= math.log(len(odds)) + 2}
     stems: dict[str, float] = {}
     rates: dict[str, float] = {}
     for p in sorted(good, key=lambda p: (len(p), p)):
-        if any(p.startswith(q[:-1]) for q in stems) or p in base:
+        if any(q[-1] == "*" and p.startswith(q[:-1]) for q in stems):
             continue
         longer = p
         while best := max((q for q in good if len(q) == len(longer) + 1 and q.startswith(longer)), key=lambda q: (good[q], q), default=None):
@@ -263,10 +277,15 @@ def fit(rows: list[tuple[int, str]], base: dict[str, float] = LEXICON) -> Model:
                 break
             longer = best
         stems[longer + "*"] = 1.0
+        if seen[1].get(longer, 0) >= 0.9 * good[longer]:
+            stems[longer] = 1.0  # a word of its own, of which misspellings count too
         rates[longer + "*"] = counts[0].get(longer, 0) / words[0]
-    terms = {t: s for t, s in base.items() if not any(t.startswith(q[:-1]) for q in stems)} | stems
+    terms = stems | base
     lex = Lexicon(terms, rates)
-    scores = sorted((lex.score(t)[0], label) for label, t in rows)
+    hits: set[int] = set()
+    for c in chunks(pa.array([t for _, t in rows], pa.string())):
+        hits.update((c.first + lex.rows_with_hits(c)).tolist())
+    scores = sorted((lex.score(t)[0] if n in hits else 0.0, label) for n, (label, t) in enumerate(rows))
     n = [sum(label == k for _, label in scores) or 1 for k in (0, 1)]
     left, best = [0, 0], (-1.0, THRESHOLD)
     below = 0.0

@@ -36,9 +36,9 @@ def model(spark, sf):
 
 
 def test_automaton_is_levenshtein():
-    terms = dict.fromkeys(["idiot", "stupid", "scum", "moron", "lowei*", "imbécil"], 1.0)
+    terms = dict.fromkeys(["idiot", "stupid", "scum", "moron", "lowei*", "imbécil", "loser", "loser*", "scum*"], 1.0)
     lex = T.Lexicon(terms)
-    words = ["idiot", "idot", "idiiot", "idiom", "odiot", "xidiot", "stupd", "stupida", "stupidity", "scum", "scam", "scums", "moro", "loweihr", "lowei", "lowe", "imbecil", "imbécile", "m", "", "morons", "maron", "mmoron"]
+    words = ["idiot", "idot", "idiiot", "idiom", "odiot", "xidiot", "stupd", "stupida", "stupidity", "scum", "scam", "scums", "moro", "loweihr", "lowei", "lowe", "imbecil", "imbécile", "m", "", "morons", "maron", "mmoron", "loserish", "losr"]
     for w in words:
         assert lex.walk(w) == nearest(w, terms), w
 
@@ -64,13 +64,14 @@ def test_query_equals_brute_force(spark, sf, model, docs):
 
 
 def test_held_out_accuracy(spark, sf):
-    d = sf.replace("sf0.001", "sf0.01")
+    d = sf.replace("sf0.001", "sf0.1")
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "toxic", "text").collect()]
-    m = T.fit([(t, x) for i, t, x in rows if i % 2])
+    r = sorted((t, i, x) for i, t, x in rows if i % 2)
+    m = T.fit([(t, x) for t, _, x in r[-800:] + r[:800]])
     lex = m.lexicon()
     said = [(lex.score(x)[0] >= m.threshold, t) for i, t, x in rows if i % 2 == 0]
     caught = [s for s, t in said if t]
-    assert sum(caught) / len(caught) >= 0.7
+    assert sum(caught) / len(caught) >= 0.85
     assert sum(s for s, t in said if not t) / sum(not t for _, t in said) <= 0.02
 
 
