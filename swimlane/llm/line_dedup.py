@@ -9,7 +9,8 @@ smallest hash; so any repeated passage of whole lines with
 earlier copy.  Positions of equal fingerprints are joined, the match with the
 first document that has it is extended line by line both ways, and the lines of
 every later run are deleted; within one document, later repeats of a gram are
-found in the same way.
+found in the same way.  The whole text is one more fingerprint, so that nothing is
+left of a copy.
 
 Plan: the texts go once through a kernel that emits a fingerprint's hash, place
 and a few neighbouring line hashes (no text).  The first document of each hash
@@ -37,7 +38,7 @@ class Lines:
     """The lines of a chunk: byte spans with their separators, word counts, hashes and grams."""
 
     def __init__(self, chunk: Chunk, noise: int, window: int):
-        self.window = window
+        self.noise, self.window = noise, window
         d = chunk.data
         n = len(d)
         ws, we = chunk.words()
@@ -104,6 +105,15 @@ class Lines:
         high = np.minimum(np.searchsorted(self.total, self.total[e] + self.window, side="left"), self.row_end[picks])
         return self._packed(picks - 1, picks - low, -1), self._packed(e, high - e, 1)
 
+    def whole_texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text with enough words for a gram: its first line, the end of its lines, the hash of all of them."""
+        first = first_of_rows(self.row)
+        last = np.append(first[1:], self.n)
+        place = (np.arange(self.n) - np.repeat(first, last - first)).astype(np.uint64)
+        h = np.add.reduceat(mix(self.hash + place * np.uint64(0xC2B2AE3D27D4EB4F)), first) if self.n else self.hash
+        enough = self.total[last] - self.total[first] >= self.noise
+        return first[enough], last[enough], mix(h[enough] + np.uint64(1))
+
     def _packed(self, at: np.ndarray, count: np.ndarray, step: int) -> pa.Array:
         ends = np.cumsum(count)
         nth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count)
@@ -145,6 +155,8 @@ def fingerprints(docs: DataFrame, noise_words: int = NOISE_WORDS, window_words:
                 q = p[order]
                 p = np.sort(q[np.concatenate(([True], (x.gram[q[1:]] != x.gram[q[:-1]]) | (x.row[q[1:]] != x.row[q[:-1]])))])
                 row0 = np.searchsorted(x.row, x.row[p], side="left")
+                a, z, all_ = x.whole_texts()
+                yield pa.RecordBatch.from_arrays([pa.array(all_.view(np.int64)), pa.array(ids[c.first + x.row[a]]), pa.array(keys[c.first + x.row[a]]), pa.array(np.zeros(len(a), np.int32)), pa.array((z - a).astype(np.int32)), *(pa.array([b""] * len(a), pa.binary()),) * 2], schema=schema)
                 before, after = x.contexts(p)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.gram[p].view(np.int64)), pa.array(ids[c.first + x.row[p]]), pa.array(keys[c.first + x.row[p]]), pa.array((p - row0).astype(np.int32)), pa.array((x.gram_end[p] - row0).astype(np.int32)), before, after],
