@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import id_text
 from .textkernel import Chunk, chunks, first_of_rows, mix
 
-K, M, L = 2, 16, 2
+K, M, L = 2, 32, 2
 _U = np.uint64
 _MAX = _U(2**64 - 1)
 
