@@ -8,13 +8,13 @@ document that is left in a training sequence.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from swimlane.llm import decontamination, line_dedup, near_dedup, packing, toxicity
+from swimlane.llm.common import shared_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,17 +54,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder for stages' tables in the cluster's shared one, or, where none is set, in a local one."""
-    sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="swimlane-pipeline-")
-    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    at, docs = folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; a stage's table is deleted when the next one's is written."""
+    at, docs = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{n}")
         docs = spark.read.parquet(f"{at}/{n}")
+        if n:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{n - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs

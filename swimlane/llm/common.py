@@ -6,16 +6,27 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .textkernel import strings
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder (spark.checkpoint.dir); only where none is set, as in tests, in one of our own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); only in local mode, as in tests, one of our own where none is set."""
+    sc = spark.sparkContext
+    at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="swimlane-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="swimlane-checkpoint-"))
+        sc.setCheckpointDir(at)
+    return at
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
