@@ -181,10 +181,11 @@ def rm_anova(df: DataFrame, subject: str, condition: str, value: str) -> DataFra
     """(f, df_condition, df_error): repeated-measures ANOVA of one factor on subjects that have every condition."""
     cell = df.groupBy(subject, condition).agg(F.avg(value).alias("v"))
     k = cell.agg(F.count_distinct(condition).alias("k"))
-    whole = cell.withColumn("_c", F.count("v").over(Window.partitionBy(subject))).crossJoin(k).where("_c = k")
-    grand = F.avg("v").over(Window.partitionBy(F.lit(1)))
-    by_s, by_c = F.avg("v").over(Window.partitionBy(subject)), F.avg("v").over(Window.partitionBy(condition))
-    x = whole.withColumn("_s", by_s).withColumn("_m", by_c).withColumn("_g", grand)
+    of_subject = Window.partitionBy(subject)
+    whole = cell.withColumn("_c", F.count("v").over(of_subject)).withColumn("_s", F.avg("v").over(of_subject)).crossJoin(k).where("_c = k")
+    means = whole.groupBy(condition).agg(F.avg("v").alias("_m"))
+    grand = means.agg(F.avg("_m").alias("_g"))  # every subject has every condition
+    x = whole.join(means, condition).crossJoin(grand)
     s = x.agg(F.sum(F.pow(F.col("_m") - F.col("_g"), 2)).alias("ssc"), F.sum(F.pow(F.col("v") - F.col("_s") - F.col("_m") + F.col("_g"), 2)).alias("sse"), F.count_distinct(subject).alias("n"), F.max("k").alias("k"))
     d1, d2 = F.col("k") - 1, (F.col("k") - 1) * (F.col("n") - 1)
     return s.select(F.try_divide(F.try_divide(F.col("ssc"), d1), F.try_divide(F.col("sse"), d2)).alias("f"), d1.alias("df_condition"), d2.alias("df_error"))

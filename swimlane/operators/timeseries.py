@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -149,6 +147,3 @@ def time_series(tracking: DataFrame, trials: DataFrame, keys: list[str], time: s
     theta = unwrapped(seg, angle, trace, [time], "theta").select(*trace, F.col(time), "theta")
     seg = seg.join(theta, [*trace, time], "left")
     return resampled(seg, trace, "_t", ["distance", "distance_center", "speed", "theta"], seconds, fps)
-
-
-TURN = 2 * math.pi

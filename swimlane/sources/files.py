@@ -140,8 +140,8 @@ def read_pose(spark: SparkSession, path: str | None, points: list[str], prefix:
     names = [f"{p}_{c}" for p, c in zip(head[1].value.split(",")[1:], head[2].value.split(",")[1:])]
     raw = spark.read.schema("frame string, " + ", ".join(f"`{c}` string" for c in names)).csv(path)
     body = with_file(raw, prefix).where(F.col("frame").rlike(r"^\d+$"))
-    value = lambda c: F.try_to_number(F.lit("0"), F.lit("0")).cast("double") if c not in names else F.expr(f"try_cast(`{c}` AS double)")
-    return body.select("file", F.col("frame").cast("long").alias("frame"), *(value(c).alias(c) if c in names else F.lit(None).cast("double").alias(c) for c in wide))
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)") if c in names else F.lit(None).cast("double")
+    return body.select("file", F.col("frame").cast("long").alias("frame"), *(number(c).alias(c) for c in wide))
 
 
 def read_datasets(spark: SparkSession, root: str, name: str = "bout_frequency.csv", schema: str | None = None) -> DataFrame:
