@@ -21,7 +21,7 @@ import hashlib
 import io
 import re
 from collections.abc import Iterable, Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 from typing import NamedTuple
 
 import pyarrow as pa
