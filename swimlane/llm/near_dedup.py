@@ -132,9 +132,21 @@ def forest(s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def key_pairs(key: np.ndarray, s: np.ndarray, most: int = 2 * SEGMENTS - 1, small: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``most`` bits among rows of equal keys, the keys sorted: all pairs where few share a key, else a forest."""
-    n = len(key)
+def first_key(x: np.ndarray, segments: int) -> np.ndarray:
+    """Of differences of signatures: the number of the first deletion under which the two meet, of a pair that meets at all."""
+    out, low = np.full(len(x), -1), 0
+    for width in widths(segments):
+        part = segment(x, low, width)
+        ones = np.bitwise_count(part)
+        hit = (out < 0) & (ones <= 1)
+        out[hit] = low + np.where(ones[hit] == 1, np.bitwise_count(part[hit] - (ones[hit] == 1)), 0)
+        low += width
+    return out
+
+
+def key_pairs(key: np.ndarray, s: np.ndarray, segments: int = SEGMENTS, small: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the distance among rows of equal keys, the keys sorted: where few share a key, all pairs that meet under no earlier one; else a forest."""
+    n, most = len(key), 2 * segments - 1
     starts = first_of_rows(key)
     sizes = np.diff(np.append(starts, n))
     size = np.repeat(sizes, sizes)
@@ -142,6 +154,7 @@ def key_pairs(key: np.ndarray, s: np.ndarray, most: int = 2 * SEGMENTS - 1, smal
     for d in range(1, min(small, int(sizes.max(initial=1)))):
         i = np.flatnonzero((key[d:] == key[:-d]) & (size[:-d] <= small))
         i = i[apart(s[i], s[i + d]) <= most]
+        i = i[first_key(s[i] ^ s[i + d], segments) == key[i] >> 32]
         a.append(i)
         b.append(i + d)
     for g in np.flatnonzero(sizes > small).tolist():
@@ -153,35 +166,35 @@ def key_pairs(key: np.ndarray, s: np.ndarray, most: int = 2 * SEGMENTS - 1, smal
 
 
 def near_pairs(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(u, v), u < v: verified pairs of (node, s0, s1), enough to connect what all pairs connect."""
-    most = 2 * segments - 1
+    """(u, v): verified pairs of (node, s0, s1), enough to connect what all pairs connect.
+
+    Variants carry the signature and no id, as they are most of what is moved.
+    """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+        schema = pa.schema([("key", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
         for b in batches:
             for part in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
-                node, s0, s1 = (part.column(i).to_numpy() for i in range(3))
+                s0, s1 = (part.column(i).to_numpy() for i in range(2))
                 keys = variants(np.stack((s0, s1), axis=1).view(np.uint64), segments)
                 k = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(x, k)) for x in (node, s0, s1))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(x, k)) for x in (s0, s1))], schema=schema)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+        schema = pa.schema([(c, pa.int64()) for c in ("a0", "a1", "b0", "b1")])
         held: list[tuple] = []
 
         def pairs(cols: tuple) -> pa.RecordBatch | None:
-            key, node, s0, s1 = cols
-            a, b = key_pairs(key, np.stack((s0, s1), axis=1).view(np.uint64), most)
+            s = np.stack(cols[1:], axis=1)
+            a, b = key_pairs(cols[0], s.view(np.uint64), segments)
             if not len(a):
                 return None
-            u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            uv = np.unique(np.stack((u, v), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(uv[:, 0].copy()), pa.array(uv[:, 1].copy())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(s[i, k].copy()) for i in (a, b) for k in (0, 1)], schema=schema)
 
         for b in batches:  # sorted by key; the last key's rows wait for the next batch
             if not b.num_rows:
                 continue
-            now = tuple(b.column(i).to_numpy() for i in range(4))
+            now = tuple(b.column(i).to_numpy() for i in range(3))
             if held and now[0][-1] == held[0][0][0]:
                 held.append(now)
                 continue
@@ -193,8 +206,10 @@ def near_pairs(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
         if held and (out := pairs(tuple(map(np.concatenate, zip(*held))))) is not None:
             yield out
 
-    keyed = distinct.select("node", "s0", "s1").mapInArrow(emit, "key long, node long, s0 long, s1 long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long").distinct()
+    keyed = distinct.select("s0", "s1").mapInArrow(emit, "key long, s0 long, s1 long")
+    met = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a0 long, a1 long, b0 long, b1 long")
+    of = lambda x, node: distinct.select(F.col("s0").alias(f"{x}0"), F.col("s1").alias(f"{x}1"), F.col("node").alias(node))
+    return met.join(of("a", "u"), ["a0", "a1"]).join(of("b", "v"), ["b0", "b1"]).select("u", "v")
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -79,7 +79,23 @@ def test_forest_connects_as_all_pairs():
     def joined(pairs):
         return groups_of(len(s), zip(*(x.tolist() for x in pairs)))
 
-    assert joined(N.key_pairs(key, s, 13, small=1000)) == joined(N.key_pairs(key, s, 13, small=10))
+    all_pairs = [(i, j) for i in range(len(s)) for j in range(i) if N.apart(s[i], s[j]) <= 13]
+    assert joined(N.forest(s, 13)) == groups_of(len(s), all_pairs) == joined(N.key_pairs(key, s, small=10))
+
+
+def test_each_pair_comes_once():
+    r = np.random.default_rng(3)
+    s = np.repeat(r.integers(0, 2**63, (40, 2), dtype=np.uint64), 3, axis=0)
+    for n in range(len(s)):
+        for b in r.integers(0, 128, 5):
+            s[n, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    s = np.unique(s, axis=0)
+    k = N.variants(s)
+    at = np.repeat(np.arange(len(s)), 128)
+    order = np.argsort(k.reshape(-1), kind="stable")
+    a, b = N.key_pairs(k.reshape(-1)[order].view(np.int64), s[at[order]])
+    got = [tuple(sorted((int(at[order[i]]), int(at[order[j]])))) for i, j in zip(a, b)]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for j in range(len(s)) for i in range(j) if N.apart(s[i], s[j]) <= 13}
 
 
 def groups_of(n, pairs):
