@@ -85,7 +85,13 @@ DEFAULTS = {
     "OMR": {"omr_spatial_period_mm": 10.0, "omr_angle_deg": 90.0, "omr_speed_mm_per_sec": 10.0},
     "OKR": {"okr_speed_deg_per_sec": 0.0, "okr_spatial_frequency_deg": 1.0},
     "PHOTOTAXIS": {"phototaxis_polarity": 1.0},
-    "LOOMING": {"looming_distance_to_screen_mm": 100.0, "looming_size_to_speed_ratio_ms": 1.0, "looming_angle_stop_deg": 90.0, "looming_angle_start_deg": 0.0, "looming_expansion_speed_deg_per_sec": 0.0, "looming_expansion_speed_mm_per_sec": 0.0, "looming_expansion_time_sec": 0.5, "looming_period_sec": 1.0},
+    "LOOMING": {"looming_distance_to_screen_mm": 100.0, "looming_size_to_speed_ratio_ms": 1.0, "looming_angle_stop_deg": 90.0, "looming_angle_start_deg": 0.0, "looming_expansion_speed_deg_per_sec": 0.0, "looming_expansion_speed_mm_per_sec": 0.0, "looming_expansion_time_sec": 0.5, "looming_period_sec": 1.0, "looming_type": 0.0},
+    "TURING": {"turing_n_waves": 1.0, "turing_speed_mm_per_sec": 0.0, "turing_angle_deg": 0.0, "turing_spatial_period_mm": 10.0},
+    "CONCENTRIC_GRATING": {"concentric_speed_mm_per_sec": 0.0, "concentric_spatial_period_mm": 10.0},
+    "DOT": {"dot_radius_mm": 1.0},
+    "IMAGE": {"image_res_px_per_mm": 10.0},
+    "RAMP": {"ramp_type": 0.0, "ramp_powerlaw_exponent": 1.0, "ramp_duration_sec": 1.0},
+    "PREY_CAPTURE": {"prey_arc_stop_deg": 360.0, "prey_arc_start_deg": 0.0, "prey_arc_phase_deg": 0.0, "prey_speed_deg_s": 0.0, "prey_speed_mm_s": 0.0, "prey_trajectory_radius_mm": 5.0, "prey_radius_mm": 1.0, "n_preys": 0.0, "prey_capture_type": 0.0, "prey_periodic_function": 0.0},
 }
 
 

@@ -144,6 +144,15 @@ def random_intercept(df: DataFrame, group: list[str], subject: str, y: str) -> D
     return g.select(*group, mean.alias("mean"), between.alias("subject_var"), msw.alias("residual_var"), F.col("k").alias("n_subjects"), F.sqrt(between / F.col("k") + msw / F.col("N")).alias("std_error"))
 
 
+def nested_anova(small, large) -> tuple[float, float, float]:
+    """(F, p, extra terms) of two nested linear models on the same rows."""
+    a, b = small.summary, large.summary
+    rss = [s.meanSquaredError * s.numInstances for s in (a, b)]
+    extra = a.degreesOfFreedom - b.degreesOfFreedom
+    f = (rss[0] - rss[1]) / extra / (rss[1] / b.degreesOfFreedom)
+    return f, f_p(f, extra, b.degreesOfFreedom), extra
+
+
 def residuals(model, df: DataFrame, formula: str, y: str) -> DataFrame:
     """The rows with ``prediction`` and ``residual``."""
     data = RFormula(formula=formula).fit(df).transform(df)

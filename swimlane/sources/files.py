@@ -176,3 +176,9 @@ def first_user_instance(frames: DataFrame, instances: str = "instances") -> Data
 
 def labelled_suggestions(suggestions: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
     return suggestions.join(frames.select(*keys).distinct(), keys, "left_semi")
+
+
+def register(tables: dict[str, DataFrame]) -> None:
+    """The tables of an experiment as temporary views, for SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)

@@ -369,6 +369,10 @@ def test_models(spark):
     got = {q.term: q for q in c.collect()}
     err = np.sqrt(np.diag(np.linalg.inv(a.T @ a)) * ss[0] / 398)
     assert got["x"].estimate == pytest.approx(beta[1]) and got["(Intercept)"].estimate == pytest.approx(beta[0]) and got["x"].std_error == pytest.approx(err[1])
+    f, p_value, extra = T.nested_anova(model, T.linear_model(d, "y ~ x + g")[1])
+    full = np.column_stack([a, [b[0] == "g1" for b in rows], [b[0] == "g2" for b in rows]])
+    ss2 = np.linalg.lstsq(full, y, rcond=None)[1]
+    assert extra == 2 and f == pytest.approx(((ss - ss2) / 2 / (ss2 / 396))[0]) and 0 < p_value < 1
     assert T.residuals(model, d, "y ~ x", "y").agg(F.sum("residual")).first()[0] == pytest.approx(0, abs=1e-6)
     p, dispersion, _ = T.poisson_model(d, "n ~ g", "t")
     q, _, _ = T.poisson_model(d, "n ~ g", "t", quasi=True)
