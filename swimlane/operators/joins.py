@@ -72,8 +72,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str,
 def point_in_roi(points: DataFrame, rois: list[tuple[float, float, float, float]], x: str, y: str) -> DataFrame:
     """``roi``: the last rectangle (x, y, width, height) that holds the point, -1 where none does.  The rectangles are a configuration's handful, so this is one expression."""
     hit = F.lit(-1)
-    for n, (rx, ry, rw, rh) in enumerate(rois):
-        hit = F.when((F.col(x) >= rx) & (F.col(x) < rx + rw) & (F.col(y) >= ry) & (F.col(y) < ry + rh), F.lit(n)).otherwise(hit)
+    for n, (left, top, width, height) in enumerate(rois):
+        across, down = F.col(x) - left, F.col(y) - top
+        hit = F.when((across >= 0) & (across < width) & (down >= 0) & (down < height), F.lit(n)).otherwise(hit)
     return points.withColumn("roi", hit)
 
 

@@ -36,7 +36,7 @@ def epochs(config: dict, stim_ids: dict[str, Any] = STIM_ID) -> list[Epoch]:
     out: list[Epoch] = []
     for entry in config["stimuli"]:
         if entry["stim"] not in stim_ids:
-            raise ValueError(f"Unknown stimulus: {entry['stim']}")
+            raise ValueError(f"No such stimulus: {entry['stim']!r}")
         bins = entry.get("time_bins", config.get("time_bins"))
         if not bins:
             raise ValueError(f"Stimulus {entry['name']!r} has no time bins")

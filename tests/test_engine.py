@@ -14,6 +14,7 @@ from swimlane.plans.rules import Rule, RuleSet, apply, funnel, parse, register
 from swimlane.plans.specs import epochs, spec_table
 
 NAN = float("nan")
+COLOUR = [0.5, 0.1, 0.0, 0.8]
 
 
 def one(spark, c):
@@ -118,7 +119,7 @@ def test_frequency_equals_plain_loops(spark):
 
 
 def test_spec_errors(spark):
-    with pytest.raises(ValueError, match="Unknown stimulus"):
+    with pytest.raises(ValueError, match="No such stimulus"):
         epochs({"stimuli": [{"stim": "NONE", "name": "x"}]})
     with pytest.raises(ValueError, match="time bins"):
         epochs({"stimuli": [{"stim": "OMR", "name": "x", "time_bins": [], "parameters": [], "trial_range": {"start": 0, "stop": 1, "step": 1}}]})
@@ -186,10 +187,10 @@ def test_metrics_of_bouts(spark):
     post = spark.createDataFrame([("f", k, *map(float, (*p[k], *q[k]))) for k in range(n)], "file string, frame long, bladder_x double, bladder_y double, head_x double, head_y double")
     log = ", ".join(f"{c} double" for c in dims.PARAMETERS)
     params = {"prey_arc_start_deg": 15.0, "prey_arc_stop_deg": 70.0, "prey_speed_deg_s": 20.0, "start_time_sec": 5.0}
-    row = lambda pos, t, s: ("f", pos, t, s, [0.1, 0.1, 0.0, 1.0], [0.0, 0.0, 0.0, 1.0], [1.0, 2.0], *(params.get(c) for c in dims.PARAMETERS))
+    row = lambda pos, t, s: ("f", pos, t, s, COLOUR, COLOUR, [1.0, 2.0], *(params.get(c) for c in dims.PARAMETERS))
     stim = spark.createDataFrame([row(0, ts[5], 0), row(1, ts[30], 6), row(2, ts[50], 8)], "file string, position int, timestamp long, stim_select int, foreground_color array<double>, background_color array<double>, looming_center_mm array<double>, " + log)
     trials = R.from_log(stim, spark.createDataFrame([("f", ts[-1])], "file string, last long"))
-    assert {r.foreground_color for r in trials.collect()} == {"[0.1, 0.1, 0.0, 1.0]"} and trials.count() == 2
+    assert {r.foreground_color for r in trials.collect()} == {str(COLOUR)} and trials.count() == 2
     out = B.metrics(seg, traj, trials, online, post, spark.createDataFrame([("f", 1.0, 2.0)], "file string, cx_mm double, cy_mm double"), spark.createDataFrame([("f", fps)], "file string, fps double"), bucket=8)
     rows = {r.bout_index: r.asDict() for r in out.collect()}
     assert rows.keys() == {0, 1, 2}
