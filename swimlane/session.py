@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +20,15 @@ def session(app: str = "swimlane", master: str | None = None, **extra: str) -> S
     """A session; on a cluster leave ``master`` to spark-submit.  Dots in extra settings are written as double underscores."""
     b = SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("__", "."): v for k, v in extra.items()})
     return (b.master(master) if master else b).getOrCreate()
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, whatever their working directory.
+
+    On a cluster that folder must be a shared one, or the package installed on every machine.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    there = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in there and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([*there, root])
+    return spark

@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -144,6 +145,14 @@ def test_works_without_the_optional_subpackage():
     assert subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True).returncode == 0
 
 
+def test_workers_find_the_package_from_any_folder(sf, tmp_path):
+    """A session of its own, in another folder and without a PYTHONPATH."""
+    code = f"import sys; sys.path.insert(0, {str(REPO)!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); assert e.queries()['spline_model'](s, {sf!r}).count()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_plans(spark, sf):
     """Filters and columns reach the scan, and membership in epochs needs no join."""
     plan = catalog.rule_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
