@@ -206,6 +206,7 @@ class Model:
     def lexicon(self) -> Lexicon:
         key = (tuple(sorted(self.terms.items())), tuple(sorted(self.rates.items())))
         if key not in _LEXICONS:
+            _LEXICONS.clear()  # a worker serves one model at a time; older ones would only hold memory
             _LEXICONS[key] = Lexicon(self.terms, self.rates)
         return _LEXICONS[key]
 
