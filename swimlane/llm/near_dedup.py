@@ -1,19 +1,19 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
 Method: a document's signature has 128 bits, each the majority over its distinct
-tokens.  It is cut into seven segments; two signatures that differ in at most
-thirteen bits differ by at most one bit in some segment (seven segments with two
-or more would make fourteen).  Each segment is indexed once for each of its bits, that
+tokens.  It is cut into eleven segments; two signatures that differ in at most
+21 bits differ by at most one bit in some segment (eleven segments with two
+or more would make 22).  Each segment is indexed once for each of its bits, that
 bit deleted, so segments one bit apart meet in an equality join; what meets is
-verified by the distance over all 128 bits.  No pair within thirteen bits is lost
+verified by the distance over all 128 bits.  No pair within 21 bits is lost
 and none beyond is kept.  Fewer segments have longer keys and so fewer chance
 meetings in a larger corpus, but find only nearer copies (``segments``: 4 finds 7 bits).
 
 Plan: equal signatures are first collapsed to one row, so exact copies cost
 nothing further.  Variants carry two longs and an id, no text; they are
 partitioned by key and sorted, and a streaming kernel verifies each key's
-members against each other (in groups of thousands it emits a spanning forest
-instead of all pairs, which connects the same members).  Groups are the connected components of verified
+members against each other, larger groups in tiles (where a group's members are mostly near
+each other it emits a spanning forest instead of all pairs, which connects the same members).  Groups are the connected components of verified
 pairs, by alternating large-star and small-star rounds cut with checkpoints.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import checkpoint, fresh, id_text
 from .textkernel import Chunk, chunks, first_of_rows, mix
 
-SEGMENTS = 7
+SEGMENTS = 11
 _LANES = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.uint8).reshape(256, 8).copy().view(np.uint64)[:, 0]
 _U = np.uint64
 
@@ -132,6 +132,25 @@ def forest(s: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def close_pairs(s: np.ndarray, most: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs within ``most`` bits of each other, or None if they are more than eight a member."""
+    a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    words = [np.ascontiguousarray(s[:, k]) for k in (0, 1)]
+    for i in range(0, len(s), tile):
+        for j in range(i, len(s), 4 * tile):
+            # few chance meetings pass on the first word
+            at = np.flatnonzero(np.bitwise_count(words[0][i : i + tile, None] ^ words[0][None, j : j + 4 * tile]) <= most)
+            x, y = np.divmod(at, min(4 * tile, len(s) - j))
+            x, y = x + i, y + j
+            near = (x < y) & (apart(s[x], s[y]) <= most)
+            a.append(x[near])
+            b.append(y[near])
+            n += len(a[-1])
+            if n > 8 * len(s):
+                return None
+    return np.concatenate(a), np.concatenate(b)
+
+
 def first_key(x: np.ndarray, segments: int) -> np.ndarray:
     """Of differences of signatures: the number of the first deletion under which the two meet, of a pair that meets at all."""
     out, low = np.full(len(x), -1), 0
@@ -144,8 +163,8 @@ def first_key(x: np.ndarray, segments: int) -> np.ndarray:
     return out
 
 
-def key_pairs(key: np.ndarray, s: np.ndarray, segments: int = SEGMENTS, small: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the distance among rows of equal keys, the keys sorted: where few share a key, all pairs that meet under no earlier one; else a forest."""
+def key_pairs(key: np.ndarray, s: np.ndarray, segments: int = SEGMENTS, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within the distance among rows of equal keys, the keys sorted: all pairs that meet under no earlier one; where many share a key and are mostly near each other, a forest."""
     n, most = len(key), 2 * segments - 1
     starts = first_of_rows(key)
     sizes = np.diff(np.append(starts, n))
@@ -153,13 +172,19 @@ def key_pairs(key: np.ndarray, s: np.ndarray, segments: int = SEGMENTS, small: i
     a, b = [], []
     for d in range(1, min(small, int(sizes.max(initial=1)))):
         i = np.flatnonzero((key[d:] == key[:-d]) & (size[:-d] <= small))
+        i = i[np.bitwise_count(s[i, 0] ^ s[i + d, 0]) <= most]
         i = i[apart(s[i], s[i + d]) <= most]
         i = i[first_key(s[i] ^ s[i + d], segments) == key[i] >> 32]
         a.append(i)
         b.append(i + d)
     for g in np.flatnonzero(sizes > small).tolist():
         lo, hi = starts[g], starts[g] + sizes[g]
-        x, y = forest(s[lo:hi], most)
+        if near := close_pairs(s[lo:hi], most):
+            x, y = near
+            first = first_key(s[lo + x] ^ s[lo + y], segments) == key[lo] >> 32
+            x, y = x[first], y[first]
+        else:
+            x, y = forest(s[lo:hi], most)
         a.append(lo + x)
         b.append(lo + y)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))

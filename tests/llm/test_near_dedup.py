@@ -144,3 +144,31 @@ def test_edges(make, edge_rows):
     # one of the equal texts and of the repeated rows; what has no id or no token stays
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["None", "1", "2", "3", "4", "5", "7", "8", "9", "-3"])
     assert N.near_duplicates(make([])).count() == 0 and N.drop_near_duplicates(make([])).count() == 0
+
+
+def test_pairs_of_near_copies_are_found(make):
+    """Two documents of word-3-gram Jaccard 0.7 or more, with no other copy that could connect them."""
+    r = random.Random(11)
+    say = lambda n: ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(n)]
+    rows = []
+    for g in range(150):
+        a = say(200)
+        b = list(a)
+        for i in range(0, 200, 19):
+            b[i] = say(1)[0]
+        grams = [{tuple(w[i : i + 3]) for i in range(198)} for w in (a, b)]
+        assert 0.7 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.75
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+    got = {(x.doc_id, x.kept_id) for x in N.near_duplicates(make(rows)).collect()}
+    assert got <= {(2 * g + 1, 2 * g) for g in range(150)} and len(got) >= 0.95 * 150
+
+
+def test_close_pairs_are_all_pairs():
+    r = np.random.default_rng(5)
+    s = np.repeat(r.integers(0, 2**63, (300, 2), dtype=np.uint64), 3, axis=0)
+    for n in range(len(s)):
+        for b in r.integers(0, 128, 12):
+            s[n, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    a, b = N.close_pairs(s, 21, tile=100)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for j in range(len(s)) for i in range(j) if N.apart(s[i], s[j]) <= 21}
+    assert N.close_pairs(np.zeros((40, 2), np.uint64), 21) is None
