@@ -1,7 +1,8 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Method: a candidate is a string that a sensitive name is given (``password=``,
-``token: "..."``, an authorisation header).  A compressor primed with a dictionary
+``token: "..."``, an authorisation header) or that stands under a PEM private key's heading,
+whole, however long it or its name is.  A compressor primed with a dictionary
 of code and identifiers compresses the text around the candidate once without and
 once with it; the difference is what the candidate adds (its own copies nearby are left
 out of the surroundings).  Words, placeholders and
@@ -27,8 +28,15 @@ from .common import batch, id_text
 AROUND = 400
 MIN_BYTES = 8
 MIN_RATIO = 0.38
-NAMES = "api[_-]?key|access[_-]?key|secret|passwd|password|passphrase|pwd|token|credential|auth|bearer|private[_-]?key|client[_-]?secret|conn(?:ection)?[_-]?str(?:ing)?"
-SENSITIVE = re.compile(rf"""(?i)(?P<name>[\w.-]{{0,40}}?(?:{NAMES})[\w.-]{{0,24}})["']?\s{{0,3}}(?:[:=]{{1,2}}>?|\bis\b|\s)\s{{0,3}}(?:(?P<q>["'`])(?P<quoted>[^"'`\s]{{8,512}})(?P=q)|(?P<bare>[A-Za-z0-9+/_.~$!@#%^&*-]{{8,512}}={{0,2}}))""")
+NAMES = "api[ _-]?key|access[ _-]?key|secret|passwd|password|passphrase|pwd|token|credential|auth|bearer|private[ _-]?key|client[ _-]?secret|conn(?:ection)?[ _-]?str(?:ing)?"
+SENSITIVE = re.compile(rf"(?i)(?:{NAMES})")
+#: The longest part of a name before a blank, where another name may begin at the end of a run of name characters.
+BEFORE_BLANK = len("connection")
+REST_OF_NAME = re.compile(r"[\w.-]*+")
+VALUE = re.compile(r"""(?i)["']?(?:\s*+(?:[:=]{1,2}>?|\bis\b)\s*+|\s++)(?:(?P<q>["'`])(?P<quoted>[^"'`\s]{8,}+)(?P=q)|(?P<bare>[A-Za-z0-9+/_.~$!@#%^&*-]{8,}+={0,2}))""")
+_BREAK = r"(?:\s|\\[nr])"  # written out in strings of code
+#: What follows "PRIVATE KEY": headers, long lines, and shorter ones before the end mark.
+PEM = re.compile(rf"(?: BLOCK)?-----{_BREAK}*+(?:[A-Za-z][\w-]*+: [^\n\\]*+{_BREAK}++)*+(?P<pem>[A-Za-z0-9+/]{{32,}}+={{0,2}}(?:{_BREAK}++[A-Za-z0-9+/]{{32,}}+={{0,2}})*+(?:(?:{_BREAK}++=?[A-Za-z0-9+/]++={{0,2}}){{1,2}}(?={_BREAK}*+-----))?)")
 PREFILTER = f"(?i)(?:{NAMES})"
 #: What a key would be new against: words of code, placeholders and names.
 DICTIONARY = (
@@ -56,18 +64,28 @@ class Novelty:
 
 def found(text: str, novelty: Novelty, around: int = AROUND, min_bytes: int = MIN_BYTES, min_ratio: float = MIN_RATIO) -> list[tuple[int, int, str, int, float]]:
     """(start, end, name, added bytes, added bytes a character) of each secret, in text order."""
-    out, end = [], 0
-    while m := SENSITIVE.search(text, end):
-        which = "quoted" if m["quoted"] else "bare"
-        a, b = m.span(which)
-        value = m[which]
+    out, at, floor = [], 0, 0
+    while m := SENSITIVE.search(text, at):
+        which, until = "pem", m.end()
+        v = PEM.match(text, until)
+        if not v:
+            until = REST_OF_NAME.match(text, until).end()
+            v = VALUE.match(text, until)
+            if not v:  # nor has another name in this run of characters a value
+                at = max(m.end(), until - BEFORE_BLANK)
+                continue
+            which = "quoted" if v["quoted"] else "bare"
+        a, b = v.span(which)
+        value, start = v[which], m.start()
         added = novelty.added(text[max(0, a - around) : a], value, text[b : b + around])
         ratio = added / len(value)
-        if added >= min_bytes and ratio >= min_ratio and (which == "quoted" or re.search(r"\d", value)):
-            out.append((a, b, m["name"], added, round(ratio, 6)))
-            end = b
+        if added >= min_bytes and ratio >= min_ratio and (which != "bare" or re.search(r"\d", value)):
+            while start > floor and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+                start -= 1
+            out.append((a, b, text[start:until], added, round(ratio, 6)))
+            at = floor = b
         else:
-            end = m.end("name")  # the value may itself be a name
+            at = floor = until  # the value may itself be a name
     return out
 
 
