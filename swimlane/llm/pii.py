@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting.
 
 Method: high-recall generators, one per kind, propose spans, overlapping and far
-too many; boosted trees score each from its format (length, groups, check sums,
+too many (of a run of digit groups every part that begins and ends with a group); boosted trees score each from its format (length, groups, check sums,
 separators, value ranges) and its context (cue words, what touches it); each
 kind's threshold is calibrated for precision on held-out rows; of overlapping
 spans above their thresholds the surest is redacted.
@@ -9,12 +9,13 @@ spans above their thresholds the surest is redacted.
 The trees are trained here, on spans written and broken by rule (``training_rows``),
 so the model needs no personal data.
 
-Plan: one pass without a shuffle; every generator needs a digit or an at sign,
-so texts with neither are dropped before Python sees them.
+Plan: one pass without a shuffle; every generator needs a digit, an at sign or a group between colons,
+so texts with none of them are dropped before Python sees them.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -32,10 +33,16 @@ GENERATORS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}"),
     "phone": re.compile(r"(?<![\w.])(?:\+|\(|00)?\d[\d().\-/ ]{5,22}\d(?!\w)"),
     "card": re.compile(r"(?<!\w)\d(?:[ -]?\d){11,18}(?!\w)"),
-    "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])|(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![\w:])"),
+    "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])|(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){1,6}(?::[0-9A-Fa-f]{1,4}|(?<=:):)(?!\w|:[\w:])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?!\w)"),
 }
+#: Where a part of a run of groups may begin, and the groups after which it may end.
+PARTS = {
+    "phone": (re.compile(r"(?<![\w.])(?=(?:\+|\(|00)?\d)"), re.compile(r"(?:\+|\(|00)?\d[\d().\-/ ]{5,22}(?<=\d)(?!\w)"), re.compile(r"\d(?=[().\-/ ])")),
+    "card": (re.compile(r"(?<!\w)(?=\d)"), re.compile(r"\d(?:[ -]?\d){11,18}(?!\w)"), re.compile(r"\d(?=[ -])")),
+    "iban": (re.compile(r"(?<!\w)(?=[A-Z]{2}\d{2})"), re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{2,4}){3,8}(?!\w)"), re.compile(r"\w(?= )")),
+}
 CUES = {
     "email": "email mail e-mail contact write reach",
     "phone": "phone tel telephone call mobile cell fax contact whatsapp tél telefon",
@@ -47,7 +54,9 @@ CUES = {
 ANTI = frozenset("version v order invoice isbn issn page pages section chapter figure table no number id item sku part line build release ratio score year date serial ticket commit hash eq equation vol volume".split())
 _CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
 _WORD = re.compile(r"[\w-]+")
-FEATURES = 20
+FEATURES = 25
+#: What joins a span to digits beside it.
+_JOINED = (re.compile(r"[\d+(]([().\-/ ]{0,2})$"), re.compile(r"([().\-/ ]{0,2})\d"))
 
 
 def luhn(digits: str) -> bool:
@@ -64,9 +73,29 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
 
 
+def ipv6(span: str) -> bool:
+    try:
+        return ipaddress.ip_address(span).version == 6
+    except ValueError:
+        return False
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all generators; spans may overlap."""
-    return [(m.start(), m.end(), kind) for kind, g in GENERATORS.items() for m in g.finditer(text)]
+    """(start, end, kind) of all generators; spans may overlap, those of one kind too."""
+    out = []
+    for kind, g in GENERATORS.items():
+        if kind not in PARTS:
+            out += [(m.start(), m.end(), kind) for m in g.finditer(text)]
+            continue
+        begin, longest, cut = PARTS[kind]
+        for m in begin.finditer(text):
+            if not (m := longest.match(text, a := m.start())):
+                continue
+            out.append((a, m.end(), kind))
+            for c in cut.finditer(text, a, m.end()):
+                if g.fullmatch(text, a, c.end()):
+                    out.append((a, c.end(), kind))
+    return out
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -84,14 +113,15 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
         span.startswith(("+", "00")), "(" in span and ")" in span, sum(not c.isalnum() for c in span), len(set(re.sub(r"[\w]", "", span))),
         bool(digits) and luhn(digits), kind == "iban" and mod97(span), bool(octets) and all(o <= 255 for o in octets) and octets[0] > 0,
         len(tld) if kind == "email" and tld.isalpha() else 0, host.count("."), any(w in _CUES[kind] for w in near), sum(w in ANTI for w in near),
-        before[-1:] in ("/", "=", "#", "$", "€", "_", "-", "."), after[:1] in ("%", "/", "_", "-", "$", "€", "="), len(set(digits)) if digits else 0,
+        kind == "ip" and ":" in span and ipv6(span), before[-1:] in ("/", "=", "#", "$", "€", "_", "-", "."), after[:1] in ("%", "/", "_", "-", "$", "€", "="), len(set(digits)) if digits else 0,
+        len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, *(0 if not j else 3 if j[1] != " " else 1 + (" " in span) for j in (_JOINED[0].search(before[-3:]), _JOINED[1].match(after))),
     ]
 
 
 class Trees:
     """Gradient-boosted regression trees for the logistic loss, on quantile bins."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, least: int = 8):
+    def __init__(self, rounds: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 32, least: int = 8):
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
@@ -176,6 +206,12 @@ def _invented(r: random.Random, kind: str, real: bool) -> str:
         return s if r.random() < 0.6 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
     if kind == "ip":
         o = lambda top: ".".join(str(r.randint(0, top)) for _ in range(4))
+        if real and r.random() < 0.4:
+            groups = [r.choice(["2001", "2a02", "2600", "fe80", "fd00"]), *(f"{r.getrandbits(r.choice([4, 12, 16, 16])):x}" for _ in range(7))]
+            zero = r.randint(1, 5)
+            return r.choice([":".join(groups), ":".join(g.zfill(4) for g in groups), ":".join(groups[:zero]) + "::" + ":".join(groups[zero + r.randint(2, 6 - min(zero, 4)) :][:6] or groups[-1:])])
+        if not real and r.random() < 0.4:
+            return r.choice([":".join(f"{r.getrandbits(8):02x}" for _ in range(6)), f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}:{d(3)}", ":".join(d(r.randint(1, 3)) for _ in range(r.randint(3, 7)))])
         return f"{r.randint(1, 223)}.{o(255).split('.', 1)[1]}" if real else r.choice([o(999), f"{r.randint(256, 999)}.{o(255).split('.', 1)[1]}", f"0.{d(1)}.{d(1)}.{d(1)}", f"{d(2)}:{d(2)}:{d(2)}:{d(2)}"])
     if kind == "ssn":
         return f"{r.randint(1, 665):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}" if real else f"{r.choice([0, 666, 900 + r.randint(0, 99)]):03}{r.choice(' -')}{r.choice([0, r.randint(0, 99)]):02} {d(4)}"
@@ -188,8 +224,9 @@ def _invented(r: random.Random, kind: str, real: bool) -> str:
     return s if r.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
 
-def training_rows(n: int = 600, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of n true and n false spans a kind, in invented text; true ones stand in plain text or after a cue, false ones in plain text or after a counter-cue."""
+def training_rows(n: int = 800, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of n true and n false spans a kind, in invented text; true ones stand in plain text or after a cue, false ones in plain text or after a counter-cue;
+    some have another number beside them.  Other spans that the generators propose over one are false."""
     r = random.Random(seed)
     filler = ["".join(r.choices(["th", "re", "on", "en", "au", "ie", "la", "do", "que"], k=r.randint(1, 4))) for _ in range(400)]
     x, y = [], []
@@ -200,11 +237,23 @@ def training_rows(n: int = 600, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
                 if r.random() < 0.35:
                     words[-1] = r.choice(CUES[kind].split()) if real else r.choice(sorted(ANTI))
                 span, lead = _invented(r, kind, real), " ".join(words) + " "
+                if kind == "ip" and words[-1] in ANTI and r.random() < 0.5:  # a version
+                    span = ".".join(str(r.randint(0, 20)) for _ in range(4))
                 if not real and r.random() < 0.15:
                     lead = lead[:-1] + r.choice(["/", "=", "#", "$", "_"])
-                text = lead + span + r.choice([" ", ". ", ", ", "\n"]) + " ".join(r.choices(filler, k=3))
-                x.append(features(text, len(lead), len(lead) + len(span), kind))
+                beside = r.choice([_invented(r, r.choice(("phone", "card", "ip", "ssn")), True), _invented(r, kind, True), str(r.randint(0, 999))])
+                side = r.random()
+                if side < 0.15:
+                    lead += beside + " "
+                tail = " " + beside if 0.15 < side < 0.3 else ""
+                text = lead + span + tail + r.choice([" ", ". ", ", ", "\n"]) + " ".join(r.choices(filler, k=3))
+                a, z = len(lead), len(lead) + len(span)
+                x.append(features(text, a, z, kind))
                 y.append(real)
+                parts = [c for c in candidates(text) if c[0] < z and c[1] > a and c[:2] != (a, z)]
+                for c in r.sample(parts, min(1, len(parts))):
+                    x.append(features(text, *c))
+                    y.append(False)
     return np.array(x, float), np.array(y, float)
 
 
@@ -277,7 +326,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if out:
                 yield batch(schema, list(zip(*out)))
 
-    has = id_text(docs, id_col, text_col).where("doc_id is not null").where(F.col("text").rlike("[0-9@]"))
+    has = id_text(docs, id_col, text_col).where("doc_id is not null").where(F.col("text").rlike("[0-9@]|[A-Fa-f]:[A-Fa-f]*:"))
     return has.mapInArrow(run, "doc_id long, start int, end int, kind string, score double, value string")
 
 

@@ -39,6 +39,22 @@ def test_choice_of_overlapping_spans():
     assert pii.redact("call 555-1234 now", [(5, 13, "phone")]) == "call <phone> now"
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("des +1 (826) 555-4081 190.137.223.204 du", ["+1 (826) 555-4081", "190.137.223.204"]),
+        ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]),
+        ("room 12 555-123-4567", ["555-123-4567"]),
+        ("server 2001:db8:85a3::8a2e:370:7334 is up", ["2001:db8:85a3::8a2e:370:7334"]),
+        ("host fe80::1ff:fe23:4567:890a: down", ["fe80::1ff:fe23:4567:890a"]),
+        ("at 12:34:56 the card 00:1a:2b:3c:4d:5e was seen", []),
+    ],
+)
+def test_spans_next_to_others(text, want):
+    assert [text[a:b] for a, b, *_ in pii.model().redactions(text)] == want
+    assert {text[a:b] for a, b, _ in pii.candidates(text)} >= set(want)
+
+
 def test_pii_edges(make, edge_rows):
     rows = [*edge_rows, (20, "mail ann.lee@example.org or call +1 (212) 555-0199"), (20, "mail ann.lee@example.org or call +1 (212) 555-0199"), (None, "ann.lee@example.org"), (21, "version 1.2.3.4 of page 12-13"), (22, "9" * 50_000)]
     got = pii.personal_data(make(rows)).collect()
