@@ -5,7 +5,7 @@ token's positions) that is intersected with the lexicon's trie, so spelling
 variants of a term are found in one walk.  A term of five letters or more may
 be one edit away, but not in its first letter, which misspellings seldom touch;
 a shorter one must be exact; look-alike digits and signs (``1d1ot``, ``$tupid``)
-are folded first.  A lexicon entry that ends in
+are folded first, and marks at a token's ends (``moron!!``) are read both as letters and as marks.  A lexicon entry that ends in
 ``*`` is a stem: it matches, unedited, at the beginning of a token.  Stems come
 from ``learn_lexicon``, which fits a lexicon on a bounded sample of labelled
 rows.  A hit is then weighed by the words
@@ -47,6 +47,7 @@ FUZZY = 0.55  # what a misspelled term counts against an exact one
 REPORTING = frozenset("quote quoted quotes quoting said says wrote written called word words term terms slur slurs insult insults phrase example meaning definition defined translates cites cited".split())
 ADDRESS = frozenset("you your you're youre yourself u ur".split())
 QUOTES = "\"'“”„«»‘’`"
+MARKS = ("!", "$")  # signs that are look-alikes too
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] = _FOLD[97:123]
@@ -126,6 +127,16 @@ class Lexicon:
             self.memo[word] = self.walk(word)
         return self.memo[word]
 
+    def read(self, bare: str) -> tuple[str, int] | None:
+        """The nearest term of a stripped token, marks at its ends read as letters or, if that is nearer, as marks."""
+        found = self.find(fold(bare)) if len(bare.encode()) >= 3 else None
+        if bare[:1] in MARKS or bare[-1:] in MARKS:
+            w = strip(bare, MARKS)
+            other = self.find(fold(w)) if len(w.encode()) >= 3 else None
+            if other and (not found or other[1] < found[1]):
+                return other
+        return found
+
     def rows_with_hits(self, chunk: Chunk) -> np.ndarray:
         """Rows of the chunk in which some token matches a term."""
         s, e = chunk.words()
@@ -139,6 +150,16 @@ class Lexicon:
             s[open_] += 1
         while (open_ := np.flatnonzero((e - s > 1) & ~letter[e - 1])).size:
             e[open_] -= 1
+        # a second reading where a mark stands at an end
+        mark = (chunk.data == 33) | (chunk.data == 36)
+        also = np.flatnonzero((e - s > 1) & (mark[s] | mark[e - 1]))
+        s2, e2 = s[also], e[also]
+        letter &= ~mark
+        while (open_ := np.flatnonzero((e2 - s2 > 1) & ~letter[s2])).size:
+            s2[open_] += 1
+        while (open_ := np.flatnonzero((e2 - s2 > 1) & ~letter[e2 - 1])).size:
+            e2[open_] -= 1
+        s, e, rows = np.concatenate((s, s2)), np.concatenate((e, e2)), np.concatenate((rows, rows[also]))
         fits = np.flatnonzero(e - s >= 3)
         s, e, rows = s[fits], e[fits], rows[fits]
         w = np.concatenate((d, np.zeros(8, np.uint8))).astype(np.int64)
@@ -164,7 +185,7 @@ class Lexicon:
         bare = [strip(w) for w in raw]
         total, terms = -self.natural * len(raw), []
         for i, w in enumerate(bare):
-            found = len(w.encode()) >= 3 and self.find(fold(w))
+            found = self.read(w)
             if not found:
                 continue
             term, edits = found
@@ -181,15 +202,15 @@ class Lexicon:
         return round(total, 6), terms
 
 
-def strip(word: str) -> str:
-    """The token without what is no letter, look-alike or byte above ASCII at its ends; one character at least stays."""
+def strip(word: str, marks: tuple[str, ...] = ()) -> str:
+    """The token without what is no letter, look-alike (but ``marks``) or byte above ASCII at its ends; one character at least stays."""
     if word[:1].isalpha() and word[-1:].isalpha():
         return word
     a, b, f = 0, len(word), fold(word) if word.isascii() else [fold(c)[:1] or c for c in word]
     ok = lambda c: "a" <= c <= "z" or c >= "\x80"
-    while b - a > 1 and not ok(f[a]):
+    while b - a > 1 and (word[a] in marks or not ok(f[a])):
         a += 1
-    while b - a > 1 and not ok(f[b - 1]):
+    while b - a > 1 and (word[b - 1] in marks or not ok(f[b - 1])):
         b -= 1
     return word[a:b]
 

@@ -94,3 +94,10 @@ def test_edges(spark, make, edge_rows, model):
     assert T.learn_lexicon(df, odd).threshold >= T.THRESHOLD
     twice = [r.doc_id for r in T.toxic_scores(make([(1, "stupid idiot"), (1, "stupid idiot"), (None, "stupid idiot")])).collect()]
     assert twice == [1, 1]
+
+
+def test_marks_at_the_ends(make):
+    rows = [(1, "what a moron!!"), (2, "moron$$$ that"), (3, "such scum! there"), (4, "!!scum!!! there"), (5, "$tupid as ever"), (6, "!diot as ever"), (7, "so b!tch"), (8, "cheap at 300$ !! or $$$ !"), (9, "moron!")]
+    got = {r.doc_id: tuple(r.terms) for r in T.toxic_scores(make(rows)).collect()}
+    assert got == {1: ("moron",), 2: ("moron",), 3: ("scum",), 4: ("scum",), 5: ("stupid",), 6: ("idiot",), 7: ("bitch",), 9: ("moron",)}
+    assert {r.doc_id for r in T.drop_toxic(make(rows)).collect()} == {8}
