@@ -11,15 +11,14 @@ WARC-Date, the SHA-1 of the block and of the payload the digests, and the record
 id is a UUID derived from date, URL and block digest, so a repeated conversion
 gives the same ids.
 
-Plan: a file is parsed by the task that reads it; nothing is shuffled.
+Plan: a file is parsed by the task that reads it, unzipped piece by piece; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from typing import NamedTuple
@@ -47,45 +46,136 @@ class Record(NamedTuple):
     is_version: bool
 
 
-def unzipped(data: bytes) -> bytes:
-    """The bytes themselves, or those of all gzip members one after another."""
-    return gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
+class Damage(Exception):
+    """What is wrong with an archive, and where."""
+
+
+class Source:
+    """An archive's bytes from front to back, plain or unzipped member by member; what was read is let go."""
+
+    def __init__(self, data: bytes, piece: int = 1 << 16):
+        self.data, self.piece, self.zipped = data, piece, data[:2] == b"\x1f\x8b"
+        self.at, self.member, self.press, self.spoilt = 0, 0, None, None  # in the file: what comes next, the member it belongs to
+        self.held, self.pos, self.before = b"", 0, 0  # unzipped: bytes at hand, how many of them were read, how many were let go
+
+    @property
+    def place(self) -> int:
+        return self.before + self.pos
+
+    def _more(self) -> bool:
+        """Hold further bytes; false at the end."""
+        if self.spoilt:
+            raise Damage(self.spoilt)
+        if self.zipped and self.press is None:
+            while self.data[self.at : self.at + 1] == b"\0":  # padding
+                self.at += 1
+            if self.at < len(self.data):
+                self.member, self.press = self.at, zlib.decompressobj(31)
+        new = piece = self.data[self.at : self.at + self.piece]
+        if self.press:
+            if not piece:
+                raise Damage(f"gzip member at byte {self.member}: cut")
+            before = self.press.copy()
+            try:
+                new = self.press.decompress(piece)
+            except zlib.error as e:
+                new, self.spoilt = b"".join(self._until_damage(before, piece)), f"gzip member at byte {self.member}: {e}"
+            else:
+                self.at += len(piece) - len(self.press.unused_data)
+                self.press = None if self.press.eof else self.press
+        else:
+            self.at += len(piece)
+        self.held, self.before, self.pos = self.held[self.pos :] + new, self.before + self.pos, 0
+        return bool(piece)
+
+    @staticmethod
+    def _until_damage(press, piece: bytes) -> Iterator[bytes]:
+        """What the bytes before the wrong one hold."""
+        for i in range(len(piece)):
+            try:
+                yield press.decompress(piece[i : i + 1])
+            except zlib.error:
+                return
+
+    def skip(self, these: bytes) -> bool:
+        """Pass over such bytes; false at the end."""
+        while True:
+            while self.pos < len(self.held):
+                if self.held[self.pos] not in these:
+                    return True
+                self.pos += 1
+            if not self._more():
+                return False
+
+    def line(self) -> tuple[bytes, bool]:
+        """The bytes up to the next line feed, and whether there is one."""
+        looked = 0
+        while (end := self.held.find(b"\n", self.pos + looked)) < 0:
+            looked = len(self.held) - self.pos
+            if not self._more():
+                out, self.pos = self.held[self.pos :], len(self.held)
+                return out, False
+        out, self.pos = self.held[self.pos : end], end + 1
+        return out, True
+
+    def block(self, n: int) -> bytes:
+        """The next n bytes, or as many as there are."""
+        parts, have = [], 0
+        while True:
+            part = self.held[self.pos : self.pos + n - have]
+            parts.append(part)
+            have, self.pos = have + len(part), self.pos + len(part)
+            if have == n or not self._more():
+                return b"".join(parts)
+
+    def next_member(self) -> bool:
+        """Go on where a gzip member seems to begin after the one at hand."""
+        at = self.data.find(b"\x1f\x8b\x08", self.member + 1) if self.zipped else -1
+        if at < 0:
+            return False
+        self.before, self.held, self.pos, self.at, self.press, self.spoilt = self.place, b"", 0, at, None, None
+        self.member = at
+        return True
 
 
 def parse(data: bytes) -> Iterator[Record | str]:
-    """The records of an ARC file; where a header or a length is wrong, a text that says so, and the file ends there."""
-    at, version = 0, 1
-    try:
-        data = unzipped(data)
-    except (OSError, EOFError) as e:
-        yield f"gzip: {e}"
-        return
+    """The records of an ARC file.  Where a header, a length or the compression is wrong, a text says so: a plain file ends there, in a zipped one the next gzip member is tried."""
+    source, version, told = Source(data), 1, False
     while True:
-        while data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        if at >= len(data):
-            return
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r")
-        parts = line.decode("utf-8", "replace").split(" ")
-        is_version = line.startswith(b"filedesc://")
-        want = 5 if is_version else len(FIELDS[version].split())
-        # a version block's own header has version 1's five fields in either version; a content type may hold spaces
-        if end < 0 or len(parts) < want or not parts[-1].isdigit():
-            yield f"header at byte {at}: {line[:80].decode('utf-8', 'replace')}"
-            return
-        length = int(parts[-1])
-        begin = end + 1
-        if begin + length > len(data):
-            yield f"record at byte {at}: {length} bytes declared, {len(data) - begin} there"
+        try:
+            r = read_record(source, version)
+        except Damage as e:
+            if not told:  # of bytes that only look like a member nothing is said
+                yield str(e)
+            told = True
+            if not source.next_member():
+                return
+            continue
+        if r is None:
             return
-        block = data[begin : begin + length]
-        if is_version:
-            first = block.split(b"\n", 1)[0].split(b" ")
-            version = 2 if first[:1] == [b"2"] else 1
-        kind = " ".join(parts[3 : len(parts) - (want - 4)]) if not is_version and len(parts) > want else parts[3]
-        yield Record(parts[0], parts[1], parts[2], kind, block, is_version)
-        at = begin + length
+        if r.is_version:
+            version = 2 if r.block.split(b"\n", 1)[0].split(b" ")[:1] == [b"2"] else 1
+        told = False
+        yield r
+
+
+def read_record(source: Source, version: int) -> Record | None:
+    if not source.skip(b"\r\n"):
+        return None
+    at = source.place
+    line, ended = source.line()
+    parts = line.rstrip(b"\r").decode("utf-8", "replace").split(" ")
+    is_version = line.startswith(b"filedesc://")
+    want = 5 if is_version else len(FIELDS[version].split())
+    # a version block's own header has version 1's five fields in either version; a content type may hold spaces
+    if not ended or len(parts) < want or not re.fullmatch("[0-9]{1,18}", parts[-1]):
+        raise Damage(f"header at byte {at}: {line[:80].decode('utf-8', 'replace')}")
+    length = int(parts[-1])
+    block = source.block(length)
+    if len(block) < length:
+        raise Damage(f"record at byte {at}: {length} bytes declared, {len(block)} there")
+    kind = " ".join(parts[3 : len(parts) - (want - 4)]) if not is_version and len(parts) > want else parts[3]
+    return Record(parts[0], parts[1], parts[2], kind, block, is_version)
 
 
 def warc_date(date: str) -> str | None:
@@ -110,12 +200,11 @@ def payload(block: bytes) -> bytes:
     return block[min(ends)[1] :] if ends else b""
 
 
-def convert(name: str | None, data: bytes | None) -> list[tuple]:
+def convert(name: str | None, data: bytes | None) -> Iterator[tuple]:
     """A file's WARC rows, in SCHEMA's order."""
-    out: list[tuple] = []
     for nth, r in enumerate(parse(data or b"")):
         if isinstance(r, str):
-            out.append((name, nth, *[None] * 10, r))
+            yield (name, nth, *[None] * 10, r)
             continue
         block, date = hashlib.sha1(r.block).hexdigest(), warc_date(r.date)
         http = r.block.startswith(b"HTTP/") and r.url[:4].lower() == "http"
@@ -123,15 +212,15 @@ def convert(name: str | None, data: bytes | None) -> list[tuple]:
         of_payload = f"sha1:{hashlib.sha1(payload(r.block)).hexdigest()}" if http else None if r.is_version else f"sha1:{block}"
         content = "text/plain" if r.is_version else "application/http; msgtype=response" if http else r.kind
         ip = None if r.is_version or r.ip in ("0.0.0.0", "-", "") else r.ip
-        out.append((name, nth, kind, record_id(date or r.date, r.url, block), date, None if r.is_version else r.url, ip, content, f"sha1:{block}", of_payload, len(r.block), r.block, None if date else f"date: {r.date}"))
-    return out
+        yield (name, nth, kind, record_id(date or r.date, r.url, block), date, None if r.is_version else r.url, ip, content, f"sha1:{block}", of_payload, len(r.block), r.block, None if date else f"date: {r.date}")
 
 
 def arc_to_warc(files: DataFrame, name_col: str = "path", data_col: str = "content") -> DataFrame:
     """One row for every record of every ARC file (as of Spark's binaryFile source), in the columns of ``SCHEMA``.
 
-    ``nth`` is the record's place in its file.  Where a file is damaged, its last
-    row has only file, nth and ``error``; the records before it stand.  A date that is
+    ``nth`` is the record's place in its file.  Where a file is damaged (a wrong header or
+    length, a cut or corrupt gzip member), a row has only file, nth and ``error``; the records before it stand,
+    a zipped file's later members are still read, a plain file ends there.  A date that is
     none gives a null ``warc_date`` and an error beside the other columns.  Null and
     empty files have no record; a null name stays null; repeated files are
     converted each; an empty table gives an empty result.

@@ -203,3 +203,36 @@ def test_pipeline_edges(spark, sf, make, edge_rows):
         none = stage(spark, none, sf)
     assert none.count() == 0
     assert toxicity.MAX_LABELLED == 800
+
+
+def test_damaged_compression_keeps_the_records_around_it(spark):
+    bodies = [b"HTTP/1.0 200 OK\n\n" + random.Random(k).randbytes(3000) for k in range(4)]
+    about = f"1 0 org\n{A.FIELDS[1]}\n".encode()
+    members = [gzip.compress(b"filedesc://a.arc 0.0.0.0 20010203040506 text/plain %d\n%s\n" % (len(about), about))]
+    members += [gzip.compress(b"http://a/%d 1.2.3.4 20020102030405 text/html %d\n%s\n" % (k, len(b), b)) for k, b in enumerate(bodies)]
+    spoilt = bytearray(members[2])
+    spoilt[len(spoilt) // 2] ^= 0xFF
+    whole = b"".join(members)
+    one = gzip.compress(b"".join(map(gzip.decompress, members)))
+    files = [("whole", whole), ("cut", whole[: -len(members[4]) // 2]), ("spoilt", b"".join([*members[:2], bytes(spoilt), *members[3:]])), ("one, cut", one[: len(one) * 2 // 3]), ("padded", whole + b"\0" * 100), ("tail", whole + b"no member")]
+    rows = A.arc_to_warc(spark.createDataFrame(files, "path string, content binary")).orderBy("file", "nth").collect()
+    by = {f: [(bytes(r.block) if r.block is not None else None, r.error is not None) for r in rows if r.file == f] for f, _ in files}
+    good = [(about, False), *((b, False) for b in bodies)]
+    assert by["whole"] == by["padded"] == good
+    assert by["cut"] == [*good[:4], (None, True)]
+    assert by["spoilt"][:2] == good[:2] and by["spoilt"][-2:] == good[3:] and sum(e for _, e in by["spoilt"]) == 1
+    assert by["one, cut"][:-1] == good[: len(by["one, cut"]) - 1] and by["one, cut"][-1] == (None, True) and len(by["one, cut"]) >= 3
+    assert by["tail"] == [*good, (None, True)]
+
+
+def test_no_single_flip_breaks_the_reader():
+    body = b"HTTP/1.0 200 OK\n\nbody"
+    plain = arc(1, [(b"http://a/b", b"text/html", body)] * 2)
+    for data in (plain, gzip.compress(plain)):
+        for at in range(len(data)):
+            for bit in (0x01, 0x80):
+                x = bytearray(data)
+                x[at] ^= bit
+                assert all(isinstance(r, (str, A.Record)) for r in A.parse(bytes(x)))
+    for length in ("²", "9" * 5000, "-1", ""):
+        assert isinstance(list(A.parse(f"http://a 1.2.3.4 20020102030405 text/html {length}\nabc".encode()))[0], str)
