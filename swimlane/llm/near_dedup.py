@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpoint, fresh, id_text
@@ -63,19 +63,24 @@ def simhash(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return rows[starts], np.ascontiguousarray(bits).view(np.uint64)
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, s0, s1) of every document with a token and an id."""
-    schema = pa.schema([("doc_id", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64())])
+    """(doc_id, tk, s0, s1) of every text with a token and an id; tk is the text's hash."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "tk", "s0", "s1")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, tk = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for c in chunks(b.column(1)):
                 rows, sig = simhash(c)
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[c.first + rows]), pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[c.first + rows], tk[c.first + rows], sig[:, 0].view(np.int64), sig[:, 1].view(np.int64))], schema=schema)
 
-    return id_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(run, "doc_id long, s0 long, s1 long")
+    texts = id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("tk", text_hash("text"))
+    return texts.mapInArrow(run, "doc_id long, tk long, s0 long, s1 long")
 
 
 def segment(s: np.ndarray, low: int, width: int) -> np.ndarray:
@@ -238,20 +243,34 @@ def near_pairs(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of the component of every node in a pair (u, v)."""
+    """(node, root): the smallest node of the component of every node in a pair (u, v).
+
+    A node's smallest neighbour is a combined aggregate that is joined back, so a node
+    with very many neighbours is no single task's.  The rounds end when one changes no edge.
+    """
     edges = checkpoint(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
-        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = checkpoint(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if now == state:
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select("m", F.explode(F.array("u", "v")).alias("u")).where("u <> m").select("u", F.col("m").alias("v")).distinct()
+        new = checkpoint(small)
+        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
+        edges = new
+        if same:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = now
+
+
+def _grouped(docs: DataFrame, segments: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tk, kept_id) of every text with a token and an id; tk is the text's hash."""
+    sig = checkpoint(signatures(docs, id_col, text_col))
+    # a number of its own for each signature: an id may have several
+    distinct = checkpoint(sig.groupBy("s0", "s1").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(near_pairs(distinct, segments))
+    nodes = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = nodes.groupBy("root").agg(F.min("first").alias("kept_id"))
+    return sig.join(nodes.join(kept, "root").select("s0", "s1", "kept_id"), ["s0", "s1"]).select("doc_id", "tk", "kept_id")
 
 
 def near_duplicates(docs: DataFrame, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,24 +278,23 @@ def near_duplicates(docs: DataFrame, segments: int = SEGMENTS, id_col: str = "do
 
     Groups are connected by signatures at most ``2 * segments - 1`` of 128 bits apart.  Null, empty
     and blank texts have no signature and no group; a null id is left out; rows
-    that share an id are one document, named once; an empty table gives an empty
-    result.
+    that share an id and a text are named once, an id with several texts once for each group that one of them
+    leaves (its other texts are not concerned); an empty table gives an empty result.
     """
-    sig = checkpoint(signatures(docs, id_col, text_col))
-    distinct = checkpoint(sig.groupBy("s0", "s1").agg(F.min("doc_id").alias("node")))
-    roots = components(near_pairs(distinct, segments))
-    nodes = distinct.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("kept_id"))
-    return sig.join(nodes, ["s0", "s1"]).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id")).where("doc_id <> kept_id")
+    return _grouped(docs, segments, id_col, text_col).where("doc_id <> kept_id").select("doc_id", "kept_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, segments: int = SEGMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns; of rows that share an id and a text one stays; null ids and texts without a token stay."""
-    gone_id, nth = fresh(docs, "swl_gone_id"), fresh(docs, "swl_nth")
-    gone = near_duplicates(docs, segments, id_col, text_col).select(F.col("doc_id").alias(gone_id))
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(gone_id)).count().where("count > 1").select(gone_id)
-    if twice.isEmpty():  # as in a table with a key; else the rows of these ids, and only they, are compared
-        return kept
-    repeated = F.col(id_col) == F.col(gone_id)
-    more = kept.join(twice, repeated, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(F.lit(1))))
-    return kept.join(twice, repeated, "left_anti").unionAll(more.where(F.col(nth) == 1).drop(nth))
+    """One document of each group, with all its columns.
+
+    A row goes if its text's group has a smaller id; rows of the group's smallest id stay.  Of rows
+    that share an id and a text one stays, that of the smallest hash of all its columns (columns of maps aside); null ids
+    and texts without a token stay.
+    """
+    gone_id, gone_tk, tk, h, nth = (fresh(docs, f"swl_{c}") for c in ("gone_id", "gone_tk", "tk", "h", "nth"))
+    gone = _grouped(docs, segments, id_col, text_col).where("doc_id <> kept_id").select(F.col("doc_id").alias(gone_id), F.col("tk").alias(gone_tk)).distinct()
+    whole = F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t and "variant" not in t))
+    # the rows are put together by id and text once, for both steps
+    rows = docs.withColumn(tk, text_hash(text_col)).withColumn(h, whole)
+    first = rows.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, tk).orderBy(h))).where(F.col(id_col).isNull() | (F.col(nth) == 1))
+    return first.join(gone, (F.col(id_col).cast("long") == F.col(gone_id)) & (F.col(tk) == F.col(gone_tk)), "left_anti").select(*docs.columns)

@@ -172,3 +172,18 @@ def test_close_pairs_are_all_pairs():
     a, b = N.close_pairs(s, 21, tile=100)
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for j in range(len(s)) for i in range(j) if N.apart(s[i], s[j]) <= 21}
     assert N.close_pairs(np.zeros((40, 2), np.uint64), 21) is None
+
+
+def test_an_id_with_two_texts_loses_only_the_copy(make):
+    r = random.Random(21)
+    say = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(n))
+    a, b, c = say(150), say(150), say(150)
+    df = make([(1, a), (2, a), (2, b), (3, c), (2, b), (4, b + " more")])
+    assert {(x.doc_id, x.kept_id) for x in N.near_duplicates(df).collect()} == {(2, 1), (4, 2)}
+    assert sorted((x.doc_id, x.text) for x in N.drop_near_duplicates(df).collect()) == sorted([(1, a), (2, b), (3, c)])
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    rows = [(1, "some text of a few words here", k) for k in range(40)]
+    kept = {N.drop_near_duplicates(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, note int").repartition(3)).collect()[0].note for k in (0, 7, 23)}
+    assert len(kept) == 1
