@@ -2,30 +2,32 @@
 
 Method: a test item of n normalised characters may be reproduced with at most
 k = floor(max_error_rate * n) edits.  It is cut into k + 1 pieces, one of which
-every such copy must hold unchanged; an Aho-Corasick automaton over all pieces
-finds the exact piece hits, and each region they point to is verified with
-Myers' bit-parallel edit distance against the whole item.
+every such copy must hold unchanged; a table of all pieces by their first and last eight
+bytes finds the exact piece hits, and each region they point to is verified with
+Myers' bit-parallel edit distance against the whole item.  An item too short for
+an edit (k = 0) is matched exactly, as whole words.
 
-Plan: the automaton is built in each worker from the items of one shard; shards
+Plan: the table is built in each worker from the items of one shard; shards
 hold at most ``shard_bytes`` of benchmark text, so what is sent to the workers
-is checked and bounded, and a benchmark beyond it takes more passes over the
+is checked and bounded (a worker holds about ten bytes for each of them), and a benchmark beyond it takes more passes over the
 documents, with the same result.  Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import batch, filter_by_text, id_text
+from .textkernel import mix
 
 MAX_ERROR_RATE = 0.06
-MIN_CHARS = 24
-SHARD_BYTES = 32 << 20
+MIN_CHARS = 1
+SHARD_BYTES = 16 << 20
+_U = np.uint64
 
 
 def normalise(text: str) -> str:
@@ -67,62 +69,152 @@ def char_masks(pattern: str) -> dict[str, int]:
     return masks
 
 
+def windows(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as numbers; the data must have eight bytes more than places."""
+    return np.ndarray((len(data) - 8,), "<u8", data, 0, (1,))
+
+
+class Pieces:
+    """Pieces by length, each found by a mix of its first and last eight bytes (or of all of them)."""
+
+    HEADS = 22
+
+    def __init__(self, pieces: list[bytes]):
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        start = np.cumsum(size) - size
+        w = windows(b"".join([*pieces, bytes(8)]))
+        self.heads, self.tables = np.zeros(1 << self.HEADS, bool), {}
+        for n in np.unique(size).tolist():
+            of = np.flatnonzero(size == n)
+            key = self.keys(w, start[of], n)
+            order = np.argsort(key, kind="stable")
+            self.tables[n] = key[order], of[order]
+            if n >= 8:
+                self.heads[self.spread(w[start[of]])] = True
+
+    def spread(self, head: np.ndarray) -> np.ndarray:
+        return (head * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.HEADS)
+
+    @staticmethod
+    def keys(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        if n < 8:
+            return mix(w[at] & _U((1 << 8 * n) - 1))
+        return mix(w[at] ^ mix(w[at + (n - 8)]))
+
+    def hits(self, data: bytes, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the data (which ends in eight more bytes) and the pieces that stand there."""
+        w, places, found = windows(data), [], []
+        for low in range(0, len(w), step):
+            here = w[low : low + step]
+            likely = np.flatnonzero(self.heads[self.spread(here)]) + low
+            for n, (key, of) in self.tables.items():
+                at = likely if n >= 8 else np.arange(low, low + len(here))
+                at = at[at + n <= len(w)]
+                k = self.keys(w, at, n)
+                first, last = (np.searchsorted(key, k, side=x) for x in ("left", "right"))
+                some = np.flatnonzero(last > first)
+                many = (last - first)[some]
+                ends = np.cumsum(many)
+                nth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - many, many)
+                places.append(np.repeat(at[some], many))
+                found.append(of[np.repeat(first[some], many) + nth])
+        return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64),) * 2
+
+
+def joined(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word; scripts without spaces have no words in this sense."""
+    return a.isalnum() and b.isalnum() and not any("\u0e00" <= c < "\u0f00" or "\u1000" <= c < "\u10a0" or "\u1780" <= c < "\u1800" or c >= "\u2e80" for c in (a, b))
+
+
 class Matcher:
-    """Items of one shard: their pieces in an automaton, their masks for verification."""
+    """Items of one shard: their pieces in a table, their masks for verification."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
-        self.items = sorted({(i, n) for i, t in items if len(n := normalise(t)) >= min_chars})
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = MIN_CHARS):
+        self.items = sorted({(i, n) for i, t in items if len(n := normalise(t)) >= max(1, min_chars)})
         self.masks: dict[int, dict[str, int]] = {}
         self.budget = [int(rate * len(t)) for _, t in self.items]
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        pieces, item, offset = [], [], []
         for at, ((_, t), k) in enumerate(zip(self.items, self.budget)):
             cuts = [len(t) * p // (k + 1) for p in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
-                places[t[a:b]].append((at, a))
-        self.automaton = None
-        if places:
-            self.automaton = ahocorasick.Automaton()
-            for piece, where in places.items():
-                self.automaton.add_word(piece, (len(piece), where))
-            self.automaton.make_automaton()
-
-    def regions(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """By item: parts of the normalised text, merged where they touch, outside which no copy can lie."""
-        diagonals: dict[int, set[int]] = defaultdict(set)
-        for end, (n, where) in self.automaton.iter(text):
-            for at, offset in where:
-                diagonals[at].add(end + 1 - n - offset)
-        out = {}
-        for at, starts in diagonals.items():
-            n, k, merged = len(self.items[at][1]), self.budget[at], []
-            for s in sorted(starts):
-                a, b = max(0, s - k), min(len(text), s + n + k)
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = b
-                else:
-                    merged.append([a, b])
-            out[at] = [(a, b) for a, b in merged if b - a >= n - k]
-        return out
-
-    def matches(self, raw: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) for each item found, at its best place in the normalised text."""
-        if self.automaton is None:
-            return []
-        text, out = normalise(raw), []
-        for at, regions in self.regions(text).items():
-            item, pattern = self.items[at]
-            masks = self.masks.setdefault(at, char_masks(pattern))
-            best = None
-            for a, b in regions:
-                d, end = myers(pattern, text[a:b], masks)
-                if d <= self.budget[at] and (best is None or d < best[0]):
-                    best = (d, a, a + end)
+                pieces.append(t[a:b].encode("utf-8", "surrogatepass"))
+                item.append(at)
+                offset.append(a)
+        self.item, self.offset = np.array(item, np.int32), np.array(offset, np.int32)
+        self.pieces = Pieces(pieces) if pieces else None
+
+    def many(self, raws: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text number, item_id, distance, start, end) for each item found, at its best place in the normalised text."""
+        if self.pieces is None:
+            return
+        texts, held, first = [], 0, 0
+        for n, raw in enumerate(raws):
+            texts.append(normalise(raw))
+            held += len(texts[-1])
+            if held > most or n == len(raws) - 1:
+                yield from self._found(texts, first)
+                texts, held, first = [], 0, n + 1
+
+    def _found(self, texts: list[str], first: int) -> Iterator[tuple[int, int, int, int, int]]:
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\n".join([*coded, bytes(8)])  # no piece has a line feed
+        place, piece = self.pieces.hits(data)
+        if not len(place):
+            return
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        start = np.cumsum(size + 1) - size - 1
+        row = np.searchsorted(start, place, side="right") - 1
+        if len(data) - 8 - len(texts) > sum(map(len, texts)):  # places in characters
+            lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+            before = np.concatenate(([0], np.cumsum(lead)))
+            diagonal = before[place] - before[start[row]]
+        else:
+            diagonal = place - start[row]
+        diagonal = diagonal - self.offset[piece]
+        item = self.item[piece]
+        order = np.lexsort((diagonal, item, row))
+        row, item, diagonal = row[order], item[order], diagonal[order]
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]))))
+        out = []
+        for a, z in zip(new.tolist(), [*new[1:].tolist(), len(row)]):
+            best = self.verify(texts[row[a]], int(item[a]), diagonal[a:z].tolist())
             if best:
-                d, a, end = best
-                back = text[max(a, end - len(pattern) - self.budget[at]) : end][::-1]
-                _, length = myers(pattern[::-1], back)
-                out.append((item, d, end - length, end))
-        return sorted(out)
+                out.append((first + int(row[a]), self.items[item[a]][0], *best))
+        yield from sorted(out)
+
+    def verify(self, text: str, at: int, starts: list[int]) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the best copy of an item in the regions about some places, outside which no copy can lie."""
+        pattern, k = self.items[at][1], self.budget[at]
+        n = len(pattern)
+        if not k:
+            ends = lambda s: (s and joined(text[s - 1], pattern[0])) or (s + n < len(text) and joined(pattern[-1], text[s + n]))
+            return next(((0, s, s + n) for s in starts if s >= 0 and text.startswith(pattern, s) and not ends(s)), None)
+        merged: list[list[int]] = []
+        for s in starts:
+            a, b = max(0, s - k), min(len(text), s + n + k)
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            elif b > a:
+                merged.append([a, b])
+        best = None
+        for a, b in merged:
+            if b - a < n - k:
+                continue
+            d, end = myers(pattern, text[a:b], self._masks(at))
+            if d <= k and (best is None or d < best[0]):
+                best = (d, a, a + end)
+        if best is None:
+            return None
+        d, a, end = best
+        back = text[max(a, end - n - k) : end][::-1]
+        return d, end - myers(pattern[::-1], back)[1], end
+
+    def _masks(self, at: int) -> dict[str, int]:
+        if at not in self.masks:
+            if len(self.masks) > 4096:  # a cache only
+                self.masks.clear()
+            self.masks[at] = char_masks(self.items[at][1])
+        return self.masks[at]
 
 
 _MATCHERS: dict[tuple, Matcher] = {}
@@ -150,8 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_error_rate: float =
     """(doc_id, item_id, distance, match_start, match_end): every document and every item it holds.
 
     The place is that of the best copy (the first of equals), in characters of
-    the normalised text.  Items under ``min_chars`` normalised characters name no
-    passage and match nothing; items that share an id are all searched.  Null or
+    the normalised text.  Items of any length are searched (``min_chars`` can leave out short ones), those too short for an
+    edit as whole words; one without a character matches nothing; items that share an id are all searched.  Null or
     empty texts match nothing, a null doc_id or item_id is left out, repeated
     rows are reported each, an empty table on either side gives an empty result.
     """
@@ -164,7 +256,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_error_rate: float =
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m = _matcher(sent.value, max_error_rate, min_chars)
             for b in batches:
-                found = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in m.matches(t)]
+                ids = b.column(0).to_pylist()
+                found = [(ids[n], *x) for n, *x in m.many(b.column(1).to_pylist())]
                 if found:
                     yield batch(schema, list(zip(*found)))
 
@@ -180,7 +273,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_error_rate: flo
 
         def keep(texts: pa.Array, sent=sent) -> pa.Array:
             m = _matcher(sent.value, max_error_rate, min_chars)
-            return pa.array([not m.matches(t) for t in texts.to_pylist()], pa.bool_())
+            clean = np.ones(len(texts), bool)
+            clean[[n for n, *_ in m.many(texts.to_pylist())]] = False
+            return pa.array(clean)
 
         docs = filter_by_text(docs, keep, text_col)
     return docs

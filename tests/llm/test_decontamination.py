@@ -85,3 +85,30 @@ def test_place(spark, make):
 def test_pieces_are_one_more_than_the_budget(n):
     m = D.Matcher([(1, "abcdefghijklmnopqrstuvwxyz0123456789" * 4)[:1] + (("abcdefghijklmnopqrstuvwxyz0123456789" * 4)[:n],)], 0.06, 24)
     assert m.budget == [int(0.06 * n)]
+
+
+def test_short_items_are_found_as_whole_words(spark, make):
+    b = spark.createDataFrame([(1, "Why so few?"), (2, "ox"), (3, "12 characters"), (4, "短い質問ですか"), (5, "a sentence of 30 characters ok")], "item_id long, text string")
+    rows = [(1, "they asked: why  SO few? and left"), (2, "an ox and a fox"), (3, "a fox, two boxes"), (4, "these12 characters no"), (5, "(12\ncharacters)"), (6, "前文。短い質問ですかと聞いた"), (7, "ox"), (8, "a sentance of 30 characters ok"), (9, "why so few"), (10, "a fox met an ox")]
+    got = {(x.doc_id, x.item_id, x.distance) for x in D.contaminated(make(rows), b).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (5, 3, 0), (6, 4, 0), (7, 2, 0), (8, 5, 1), (10, 2, 0)}
+    assert {x.doc_id for x in D.drop_contaminated(make(rows), b).collect()} == {3, 4, 9}
+    x = next(x for x in D.contaminated(make(rows), b).collect() if x.doc_id == 10)
+    assert (x.match_start, x.match_end) == (13, 15)
+
+
+def test_places_beyond_ascii_and_step_ends():
+    r = random.Random(8)
+    say = lambda n: "".join(r.choices("abc déñ中ß 🙂", k=n)).strip() or "x"
+    items = [(n, say(r.randint(1, 60))) for n in range(40)]
+    m = D.Matcher(items, 0.1)
+    texts = [say(40) + " " + q + " " + say(40) for _, q in items] + [say(200)]
+    small = D.Matcher(items, 0.1)
+    plain = small.pieces.hits
+    small.pieces.hits = lambda data: plain(data, step=7)
+    got = list(m.many(texts))
+    assert got == list(small.many(texts, most=90)) and {n for n, i, *_ in got if n == i} >= set(range(40))
+    for n, i, d, a, z in got:
+        t = D.normalise(texts[n])
+        pattern = D.normalise(dict(items)[i])
+        assert levenshtein_in(pattern, t) == d == levenshtein_in(pattern, t[a:z])
