@@ -9,7 +9,7 @@ an edit (k = 0) is matched exactly, as whole words.
 
 Plan: the table is built in each worker from the items of one shard; shards
 hold at most ``shard_bytes`` of benchmark text, so what is sent to the workers
-is checked and bounded (a worker holds about ten bytes for each of them), and a benchmark beyond it takes more passes over the
+is checked and bounded (a worker holds about fifteen bytes for each of them), and a benchmark beyond it takes more passes over the
 documents, with the same result.  Nothing is shuffled.
 """
 
@@ -77,13 +77,12 @@ def windows(data: bytes) -> np.ndarray:
 class Pieces:
     """Pieces by length, each found by a mix of its first and last eight bytes (or of all of them)."""
 
-    HEADS = 22
-
     def __init__(self, pieces: list[bytes]):
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         start = np.cumsum(size) - size
         w = windows(b"".join([*pieces, bytes(8)]))
-        self.heads, self.tables = np.zeros(1 << self.HEADS, bool), {}
+        self.bits = min(28, (16 * len(pieces)).bit_length())  # one head in sixteen is there by chance
+        self.heads, self.tables = np.zeros(1 << self.bits, bool), {}
         for n in np.unique(size).tolist():
             of = np.flatnonzero(size == n)
             key = self.keys(w, start[of], n)
@@ -93,7 +92,7 @@ class Pieces:
                 self.heads[self.spread(w[start[of]])] = True
 
     def spread(self, head: np.ndarray) -> np.ndarray:
-        return (head * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.HEADS)
+        return (head * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)
 
     @staticmethod
     def keys(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -111,13 +110,14 @@ class Pieces:
                 at = likely if n >= 8 else np.arange(low, low + len(here))
                 at = at[at + n <= len(w)]
                 k = self.keys(w, at, n)
-                first, last = (np.searchsorted(key, k, side=x) for x in ("left", "right"))
-                some = np.flatnonzero(last > first)
-                many = (last - first)[some]
+                first = np.searchsorted(key, k)
+                some = np.flatnonzero(key[np.minimum(first, len(key) - 1)] == k)
+                first = first[some]
+                many = np.searchsorted(key, k[some], side="right") - first
                 ends = np.cumsum(many)
                 nth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - many, many)
                 places.append(np.repeat(at[some], many))
-                found.append(of[np.repeat(first[some], many) + nth])
+                found.append(of[np.repeat(first, many) + nth])
         return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64),) * 2
 
 
