@@ -236,3 +236,13 @@ def test_no_single_flip_breaks_the_reader():
                 assert all(isinstance(r, (str, A.Record)) for r in A.parse(bytes(x)))
     for length in ("²", "9" * 5000, "-1", ""):
         assert isinstance(list(A.parse(f"http://a 1.2.3.4 20020102030405 text/html {length}\nabc".encode()))[0], str)
+
+
+@pytest.mark.parametrize("value", ["a" * 80 + "@example.org", "ab." * 40 + "c@" + "sub." * 70 + "example.com", "+1 - (826) - 555 - 4081", "٠١٢-٣٤٥٦-٧٨٩٠"])
+def test_personal_data_of_any_length_is_found_whole(value, make):
+    assert [r.value for r in pii.personal_data(make([(1, f"write or call {value} today")])).collect()] == [value]
+
+
+def test_many_groups_cost_little():
+    for text in ("12 " * 5000, "9" * 50_000, "a" * 200_000, "1." * 20_000, "x@" * 20_000):
+        assert len(pii.candidates(text)) <= 10 * len(text)
