@@ -1,11 +1,11 @@
 """Best-fit packing of documents into training sequences.
 
 Method: hierarchical residual packing.  Texts are measured in white-space
-tokens; one longer than a bin is cut into full bins and a rest.  Pieces are
+tokens, or, with a ``tokenizer``, in those of its vocabulary; one longer than a bin is cut into full bins and a rest.  Pieces are
 spread over groups, each group packs its pieces best-fit, largest first, and
 emits the bins that are nearly full.  Underfull bins become the items of the
 next round, in fewer groups, as up a tree, until one group is left or a round
-no longer merges any.
+merges none.
 
 Plan: a round's groups hold about ``group_tokens`` tokens, so no task grows with
 the corpus; what moves is ids and lengths, never text.  Groups go by a hash of the
@@ -20,9 +20,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint, id_text
 from .textkernel import chunks
+from .token_counts import token_counts
 
 CAPACITY = 2048
 NEARLY_FULL = 0.98
@@ -46,8 +48,10 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n): tokens of each text that has any."""
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n): tokens of each text that has any, between white space or of a vocabulary."""
+    if tokenizer:
+        return token_counts(docs, tokenizer, id_col=id_col, text_col=text_col).select("doc_id", F.col("n_tokens").alias("n")).where("n > 0")
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,33 +67,32 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 _PIECES = "array<struct<doc_id: long, copy: int, start: long, n: int>>"
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(pack_id, position, doc_id, copy, start, n_tokens, pack_tokens): every token of every document in one bin.
 
     A row is a piece: tokens [start, start + n_tokens) of the document, at
     ``position`` in its bin, which holds ``pack_tokens`` of at most ``capacity``.
     Pieces stand by document and start.  ``copy`` numbers rows that share an id,
     from 0, longer first; each is packed.  Null, empty and blank texts have no token and no
-    piece; a null id is left out; an empty table gives an empty result.
+    piece; a null id is left out; an empty table gives an empty result.  ``tokenizer`` is the path
+    of a vocabulary file as of ``token_counts``: lengths and capacity are then in its tokens.
     """
-    n = lengths(docs, id_col, text_col)
-    from pyspark.sql.window import Window
-
+    n = lengths(docs, id_col, text_col, tokenizer)
     rows = n.withColumn("copy", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"))) - 1).cast("int"))
     starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))
     pieces = rows.select("doc_id", "copy", F.explode(starts).alias("start"), F.col("n").alias("of"))
     pieces = pieces.select("doc_id", "copy", "start", F.least(F.lit(capacity), F.col("of") - F.col("start")).cast("int").alias("n"))
     items = checkpoint(pieces.select(F.col("n").cast("long").alias("size"), F.array(F.struct("doc_id", "copy", "start", "n")).alias("pieces")))
-    done, turn, before = [], 0, None
+    done, turn = [], 0
     while True:
         total, count = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
         groups = max(1, -(-total // group_tokens))
-        last = groups == 1 or (before is not None and count > 0.99 * before)
-        packed = checkpoint(_round(items, groups, turn, capacity, 0 if last else int(nearly_full * capacity)))
-        done.append(packed.where("full"))
-        if last:
+        packed = checkpoint(_round(items, groups, turn, capacity, 0 if groups == 1 else int(nearly_full * capacity)))
+        if groups == 1 or packed.count() == count:
+            done.append(packed)
             break
-        items, turn, before = packed.where("not full").select("size", "pieces"), turn + 1, count
+        done.append(packed.where("full"))
+        items, turn = packed.where("not full").select("size", "pieces"), turn + 1
     bins = done[0]
     for d in done[1:]:
         bins = bins.unionAll(d)
