@@ -5,19 +5,20 @@ space that a non-space follows is always a cut between pre-tokens; so a text's
 count is the sum over its chunks between such spaces, and a chunk's count never
 depends on its neighbours.  A compact table of the corpus's frequent chunks and
 their lengths is broadcast; a chunk outside it is encoded once by each worker
-and kept in the worker's cache.  Texts with a space before other white space, or at
+and kept in the worker's cache, which outlives its tasks.  Texts with a space before other white space, or at
 their end, are pre-tokenised as a whole.
 
-Plan: pass one finds in each partition the chunks above a share of its own (any
-chunk above it overall is above it somewhere) and adds up these few; the table
-keeps the most frequent of them and has a fixed bound, misses only cost time.
+Plan: pass one finds in each partition the chunks above a share of its own
+and adds up these few; the table
+keeps the most frequent of them and has a fixed bound.  It need not hold every frequent chunk: a
+miss costs time and changes no count.
 Pass two counts; neither shuffles pre-tokens.
 """
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -38,13 +39,11 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def pattern(path: str) -> str:
-    """The pre-tokenisation pattern that stands beside the vocabulary file, else the published one."""
+    """The pre-tokenisation pattern that a module beside the vocabulary file states (it is read, not run), else the published one."""
     beside = Path(path).with_name("__init__.py")
-    if beside.exists():
-        spec = importlib.util.spec_from_file_location("_vocabulary_files", beside)
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        return getattr(module, "PATTERN", PATTERN)
+    for node in ast.parse(beside.read_text(encoding="utf-8")).body if beside.exists() else []:
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Constant) and any(getattr(t, "id", "") == "PATTERN" for t in node.targets):
+            return str(node.value.value)
     return PATTERN
 
 
@@ -116,11 +115,14 @@ def frequent_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, share: float =
     return {r.chunk: len(e.encode_ordinary(r.chunk)) for r in top}
 
 
+_CACHES: dict[str, dict[str, int]] = {}
+
+
 class Counter:
     """The table first, then the worker's cache, then the encoder."""
 
     def __init__(self, table: dict[str, int], tokenizer: str):
-        self.table, self.cache = table, {}
+        self.table, self.cache = table, _CACHES.setdefault(tokenizer, {})
         e = encoder(tokenizer)
         self.encode = e.encode_ordinary
         self.bytes = np.zeros(e.n_vocab, np.int64)
