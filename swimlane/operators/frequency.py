@@ -27,17 +27,25 @@ def epoch_frequency(bouts: DataFrame, specs: list[Epoch], categories: list, side
     Columns: file, epoch_num, trial_num (recorded), trial_position (in the epoch's
     range), category, sign, bout_counts, bout_frequency (a second; NULL for an
     empty bin), and the epoch's name, parameters and bounds.
+
+    The bouts are read once: cells are counted, an animal's cells of an epoch are put into one map,
+    and the grid looks its counts up there.  All of it is partitioned by what the bouts are
+    (by file, if they come so).
     """
     spark = bouts.sparkSession
     table = F.broadcast(spec_table(spark, specs))  # one row an epoch of the configuration
     m = in_epochs(bouts, specs, stim).select(F.col(file).alias("file"), "epoch_num", F.col(trial).cast("int").alias("trial_num"), F.col(time).cast("double").alias("t"), F.col(category).alias("category"), F.col(side).alias("sign"))
-    counts = m.join(table.select("epoch_num", "lo", "hi"), "epoch_num").where("t >= lo and t < hi").groupBy("file", "epoch_num", "trial_num", "category", "sign").agg(F.count("*").alias("bout_counts"))
-    grid = m.select("file", "epoch_num").distinct().join(table, "epoch_num")
-    grid = grid.select("*", F.posexplode("trials").alias("trial_position", "trial_num")).drop("trials")
+    bounds = F.create_map(*(F.lit(x) for e in specs for x in (e.num, F.array(F.lit(e.lo), F.lit(e.hi))))) if specs else F.create_map().cast("map<int,array<double>>")
+    span = bounds[F.col("epoch_num")]
+    inside = (F.col("t") >= span[0]) & (F.col("t") < span[1])
+    cell = F.struct("trial_num", "category", "sign")
+    counted = m.groupBy("file", "epoch_num", "trial_num", "category", "sign").agg(F.count_if(inside).alias("n"))
+    maps = counted.groupBy("file", "epoch_num").agg(F.map_from_entries(F.collect_list(F.struct(cell.alias("k"), F.col("n").alias("v")))).alias("cells"))
     of = lambda values: F.explode(F.array(*map(F.lit, values)))
+    grid = maps.join(table, "epoch_num").select("*", F.posexplode("trials").alias("trial_position", "trial_num")).drop("trials")
     grid = grid.withColumn("category", of(categories)).withColumn("sign", of(sides))
-    out = grid.join(counts, ["file", "epoch_num", "trial_num", "category", "sign"], "left").withColumn("bout_counts", F.coalesce("bout_counts", F.lit(0)))
-    return out.withColumn("bout_frequency", F.try_divide(F.col("bout_counts").cast("double"), F.col("hi") - F.col("lo")))
+    out = grid.withColumn("bout_counts", F.coalesce(F.try_element_at("cells", cell.cast(dict(counted.select(cell.alias("k")).dtypes)["k"])), F.lit(0).cast("long"))).drop("cells")
+    return out.select("file", "epoch_num", "trial_num", "category", "sign", "bout_counts", "trial_position", "epoch_name", "stim_param", "lo", "hi", F.try_divide(F.col("bout_counts").cast("double"), F.col("hi") - F.col("lo")).alias("bout_frequency"))
 
 
 def tall(freq: DataFrame) -> DataFrame:

@@ -22,6 +22,17 @@ def contained(events: DataFrame, intervals: DataFrame, keys: list[str], start: s
     return _bucketed(events, intervals, keys, start, lo, hi, width, inside)
 
 
+def contained_once(events: DataFrame, intervals: DataFrame, keys: list[str], start: str, stop: str, lo: str, hi: str) -> DataFrame:
+    """``contained`` for intervals that don't overlap, as successive trials of a log in order of time.
+
+    Only the latest interval that begins before an event can hold it, so this is one as-of
+    window over the keys and no pair of an event and another interval is made.
+    """
+    columns = [hi, lo, *(c for c in intervals.columns if c not in (*keys, lo, hi))]
+    met = as_of(events, intervals, keys, start, lo, columns)
+    return met.where((F.col(start) > F.col(lo)) & (F.col(stop) < F.col(hi)))
+
+
 def points_in(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, lo: str, hi: str, width: float, closed: str = "left") -> DataFrame:
     """Points with lo <= p < hi (``left``), lo < p < hi (``none``) or lo <= p <= hi (``both``)."""
     p, a, b = F.col(point), F.col(lo), F.col(hi)

@@ -178,12 +178,15 @@ def paired_p(tests: DataFrame) -> DataFrame:
     return tests.join(tests.sparkSession.createDataFrame(rows, f"a {kind}, b {kind}, p double"), ["a", "b"])
 
 
-def holm(tests: DataFrame, p: str = "p", order: list[str] = ["a", "b"]) -> DataFrame:  # noqa: B006
-    """``p_holm``: p-values corrected step by step for the number of tests."""
-    w = Window.orderBy(p, *order)
-    n = tests.agg(F.count(p).alias("_n"))
-    raw = F.least(F.lit(1.0), F.col(p) * (F.col("_n") - F.row_number().over(w) + 1))
-    return tests.where(F.col(p).isNotNull()).crossJoin(n).withColumn("_q", raw).withColumn("p_holm", F.max("_q").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_q", "_n")
+def holm(tests: DataFrame, p: str = "p", order: list[str] = ["a", "b"], family: list[str] = []) -> DataFrame:  # noqa: B006
+    """``p_holm``: p-values corrected step by step for the number of tests of their family.
+
+    A family is one window partition; without family columns all tests are one, as a table of comparisons is.
+    """
+    by = Window.partitionBy(*(family or [F.lit(0)]))
+    w = by.orderBy(p, *order)
+    raw = F.least(F.lit(1.0), F.col(p) * (F.count(p).over(by) - F.row_number().over(w) + 1))
+    return tests.where(F.col(p).isNotNull()).withColumn("_q", raw).withColumn("p_holm", F.max("_q").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_q")
 
 
 def rm_anova(df: DataFrame, subject: str, condition: str, value: str) -> DataFrame:

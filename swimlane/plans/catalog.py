@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry as G, stimulus as S, text as X
 from ..operators import compare as C, frequency as Q, joins as J, stats as T, timeseries as W, transitions as N, trials as R
@@ -52,8 +52,7 @@ STIM = ["signup", "error"]
 
 def trials_of(e: DataFrame) -> DataFrame:
     s = e.where(F.col("event_type").isin(STIM)).select("user_id", F.col("event_type").alias("stim"), "us", "event_id")
-    last = s.groupBy("user_id").agg(F.max("us").alias("last"))
-    t = R.intervals(s, KEYS, ORDER, "us", last)
+    t = R.intervals(s, KEYS, ORDER, "us", F.max("us").over(Window.partitionBy(*KEYS)))
     return R.numbered(t, KEYS, "stim", ORDER).select("user_id", "stim", "start", "stop", F.col("trial_num").cast("long").alias("trial_num"))
 
 
@@ -71,8 +70,8 @@ def trials(spark, d):
 def bouts_of(spark, d) -> DataFrame:
     e = events(spark, d)
     b = e.where(~F.col("event_type").isin(STIM))
-    b = J.contained(b, trials_of(e), KEYS, "us", "us", "start", "stop")
-    return b.select("user_id", "event_id", "us", F.col("event_type").alias("category"), F.pmod("event_id", F.lit(2)).cast("int").alias("sign"), "stim", "trial_num", ((F.col("us") - F.col("start")) / 1e6).alias("trial_time"))
+    b = J.contained_once(b, trials_of(e), KEYS, "us", "us", "start", "stop")
+    return b.select("value", "user_id", "event_id", "us", F.col("event_type").alias("category"), F.pmod("event_id", F.lit(2)).cast("int").alias("sign"), "stim", "trial_num", ((F.col("us") - F.col("start")) / 1e6).alias("trial_time"))
 
 
 _BOUTS = f"""{_TRIALS},
@@ -82,7 +81,7 @@ b AS (SELECT e.user_id, e.event_id, e.us, e.event_type AS category, CAST(e.event
 
 @query(f"WITH {_BOUTS} SELECT user_id, event_id, stim, trial_num, trial_time, coalesce(lag(us) OVER (PARTITION BY user_id, stim, trial_num ORDER BY us, event_id), 0) AS off_previous FROM b")
 def bout_in_trial(spark, d):
-    return R.previous_end(bouts_of(spark, d), ["user_id", "stim", "trial_num"], ORDER, "us").select("user_id", "event_id", "stim", "trial_num", "trial_time", "off_previous")
+    return R.previous_end(bouts_of(spark, d), [*KEYS, "stim", "trial_num"], ORDER, "us").select("user_id", "event_id", "stim", "trial_num", "trial_time", "off_previous")
 
 
 _XY = f"{E}, x AS (SELECT *, value AS x, CAST(event_id % 100 AS DOUBLE) AS y FROM e), st AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM x WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))"
@@ -206,8 +205,7 @@ fr AS (SELECT g.user_id AS file, g.epoch_num, g.trial_num, g.category, g.sign, c
 
 
 def _frequency(spark, d) -> DataFrame:
-    bv = bouts_of(spark, d).join(events(spark, d).select("event_id", "value"), "event_id")
-    return Q.epoch_frequency(bv, epochs(EPOCHS, {s: s for s in STIM}), CATS, [0, 1], file="user_id")
+    return Q.epoch_frequency(bouts_of(spark, d), epochs(EPOCHS, {s: s for s in STIM}), CATS, [0, 1], file="user_id")
 
 
 @query(f"WITH {_FREQ} SELECT file, CAST(epoch_num AS INTEGER) AS epoch_num, CAST(trial_num AS INTEGER) AS trial_num, category, CAST(sign AS INTEGER) AS sign, bout_counts, round(f, 9) AS bout_frequency FROM fr")
@@ -439,11 +437,11 @@ def paired_holm(spark, d):
     return T.holm(p).select("a", "b", r6("p", "p"), r6("p_holm", "p_holm"), X.stars(F.col("p_holm")).alias("stars"))
 
 
-@query("""WITH t AS (SELECT event_id, value / 200 AS p FROM events WHERE value IS NOT NULL AND event_id < 200), r AS (SELECT *, row_number() OVER (ORDER BY p, event_id) AS k, count(*) OVER () AS n FROM t)
-SELECT event_id, round(max(least(1, p * (n - k + 1))) OVER (ORDER BY p, event_id ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM r""")
+@query("""WITH t AS (SELECT user_id, event_id, value / 2000 AS p FROM events WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM t)
+SELECT user_id, event_id, round(max(least(1, p * (n - k + 1))) OVER (PARTITION BY user_id ORDER BY p, event_id ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM r""")
 def holm(spark, d):
-    t = events(spark, d).where("event_id < 200 and value is not null").select("event_id", (F.col("value") / 200).alias("p"))
-    return T.holm(t, "p", ["event_id"]).select("event_id", r6("p_holm", "p_holm"))
+    t = events(spark, d).where("value is not null").select("user_id", "event_id", (F.col("value") / 2000).alias("p"))
+    return T.holm(t, "p", ["event_id"], KEYS).select("user_id", "event_id", r6("p_holm", "p_holm"))
 
 
 @query("""WITH c AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY ALL), f AS (SELECT *, count(v) OVER (PARTITION BY user_id) AS k FROM c QUALIFY k = (SELECT count(DISTINCT event_type) FROM events)),

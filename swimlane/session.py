@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,9 +18,22 @@ SETTINGS = {
 
 
 def session(app: str = "swimlane", master: str | None = None, **extra: str) -> SparkSession:
-    """A session; on a cluster leave ``master`` to spark-submit.  Dots in extra settings are written as double underscores."""
+    """A session whose workers find this package; on a cluster leave ``master`` to spark-submit.  Dots in extra settings are written as double underscores."""
     b = SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("__", "."): v for k, v in extra.items()})
-    return (b.master(master) if master else b).getOrCreate()
+    return importable((b.master(master) if master else b).getOrCreate())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); only in local mode, as in tests, one of our own where none is set."""
+    sc = spark.sparkContext
+    at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="swimlane-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at
 
 
 def importable(spark: SparkSession) -> SparkSession:
