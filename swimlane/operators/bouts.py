@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import angle_error, distance
 from ..functions.stimulus import prey_phase
 from ..plans.dims import STIM_ID
-from .joins import points_in
+from .joins import as_of, points_in
 from .trials import bouts_in, previous_end
 
 
@@ -47,7 +48,8 @@ def metrics(segments: DataFrame, traj: DataFrame, trials: DataFrame, online: Dat
     head_x, head_y); ``wells`` (file, cx_mm, cy_mm); ``info`` (file, fps).
 
     Everything is keyed by file.  Frames meet bouts once, by file and bucket of
-    frames, and one aggregate makes every per-bout figure.
+    frames, and one aggregate makes every per-bout figure; a trial's first bout, whose quality window
+    begins at frame 0, looks its quality up in running figures instead of meeting every frame.
     """
     at = traj.select("file", "frame", "timestamp", "x_smooth", "y_smooth", "yaw_smooth")
     on = at.select("file", F.col("frame").alias("onset"), F.col("timestamp").alias("t_on"), F.col("x_smooth").alias("x_on"), F.col("y_smooth").alias("y_on"), F.col("yaw_smooth").alias("yaw_on"))
@@ -57,8 +59,6 @@ def metrics(segments: DataFrame, traj: DataFrame, trials: DataFrame, online: Dat
     b = bouts_in(b, trials.drop("timestamp"), ["file"], "t_on", "t_off")
     b = previous_end(b, ["file", "stim_select", "condition", "trial_num"], ["onset", "bout_index"], "offset", first_previous)
 
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("file").orderBy("frame")
     frames = traj.withColumn("step", distance("x_smooth", "y_smooth", F.lag("x_smooth").over(w), F.lag("y_smooth").over(w)))
     frames = frames.select("file", "frame", "step", "axial_speed", "yaw_speed").join(online, ["file", "frame"], "left").join(posthoc, ["file", "frame"], "left")
@@ -68,7 +68,15 @@ def metrics(segments: DataFrame, traj: DataFrame, trials: DataFrame, online: Dat
 
     ids = ["file", "bout_index", "stim_select", "condition", "trial_num"]
     span = b.select(*ids, "onset", "offset", F.coalesce("off_previous", F.lit(0)).alias("window_start"))
-    met = points_in(frames, span, ["file"], "frame", "window_start", "offset", bucket)
+    # a window from frame 0 on is every frame before it: its figures are running ones, looked up at its last frame
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    errors = ("centroid_error", "heading_error")
+    over_limit = (F.col("heading_error") > 160.0) & ~F.isnan("heading_error")
+    running = frames.select("file", "frame", *(F.sum(e).over(upto).alias(f"{e}_sum") for e in errors), *(F.max(e).over(upto).alias(f"{e}_max") for e in errors), F.max(F.coalesce(over_limit, F.lit(False))).over(upto).alias("flip"))
+    whole = as_of(span.where("window_start = 0").withColumn("last", F.col("offset") - 1), running, ["file"], "last", "frame", [c for c in running.columns if c not in ("file", "frame")])
+    whole = whole.select(*ids, *(x for e, name in zip(errors, ("centroid_mismatch", "heading_mismatch")) for x in (F.try_divide(F.col(f"{e}_sum"), F.col("offset")).alias(f"{name}_avg"), F.col(f"{e}_max").alias(f"{name}_max"))), F.coalesce("flip", F.lit(False)).alias("heading_flip"))
+
+    met = points_in(frames, span.withColumn("from", F.when(F.col("window_start") == 0, F.col("onset")).otherwise(F.col("window_start"))), ["file"], "frame", "from", "offset", bucket)
     own, length = F.col("frame") >= F.col("onset"), F.first(F.col("offset") - F.col("window_start"))
     per = met.groupBy(*ids).agg(
         path_length(F.col("step"), F.col("frame") > F.col("onset")).alias("distance"),
@@ -76,7 +84,13 @@ def metrics(segments: DataFrame, traj: DataFrame, trials: DataFrame, online: Dat
         signed_peak(F.col("yaw_speed"), F.col("frame"), own).alias("peak_yaw_speed"),
         *quality(F.col("centroid_error"), length, "centroid_mismatch"),
         *quality(F.col("heading_error"), length, "heading_mismatch", 160.0),
+        F.first("window_start").alias("window_start"),
     )
+    kept = ("distance", "peak_axial_speed", "peak_yaw_speed")
+    figures = ["centroid_mismatch_avg", "centroid_mismatch_max", "heading_mismatch_avg", "heading_mismatch_max", "heading_flip"]
+    first = F.col("window_start") == 0
+    per = per.join(whole.select(*[F.col(i).alias(f"_{i}") for i in ids], *[F.col(c).alias(f"_{c}") for c in figures]), [F.col(i).eqNullSafe(F.col(f"_{i}")) for i in ids], "left")
+    per = per.select(*ids, *kept, *(F.when(first, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in figures))
     out = b.join(per, ids, "left").join(zero, "file").join(wells.select("file", "cx_mm", "cy_mm"), "file", "left").join(info.select("file", "fps"), "file")
     seconds = lambda c: 1e-9 * (F.col(c) - F.col("t_zero"))
     out = out.withColumn("trial_time", 1e-9 * (F.col("t_on") - F.col("start")))

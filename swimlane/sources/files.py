@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import name_pattern, name_time, parse_name
+from ..operators.compare import union_outer
 from ..plans.dims import ARRAYS, PARAMETERS, TIME_TOLERANCE_S
 
 #: role: (prefix, extension, required)
@@ -107,13 +108,45 @@ def read_stimuli(spark: SparkSession, path) -> DataFrame:
     return lines.select("file", "position", F.from_json("line", STIMULI).alias("s")).select("file", "position", "s.*")
 
 
+def present(spark: SparkSession, path) -> list[str]:
+    """Files and folders that a path, or several, of any file system means; patterns are allowed."""
+    out, jvm = [], spark._jvm
+    for p in [path] if isinstance(path, str) else path or []:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        out += [x.getPath().toString() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+    return sorted(out)
+
+
+def _by_header(spark: SparkSession, heads: DataFrame) -> list[tuple[list, list[str]]]:
+    """Distinct headers of (path, head) with the files that have them; as many rows as there are kinds of files."""
+    plain = lambda p: spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(p)).toString()  # noqa: E731  names are escaped in metadata
+    rows = heads.groupBy("head").agg(F.sort_array(F.collect_set("path")).alias("paths")).orderBy("head").collect()
+    return [(r["head"], [plain(p) for p in r.paths]) for r in rows]
+
+
+def _first_lines(spark: SparkSession, path) -> DataFrame:
+    """(path, head): each file's first line, from the part of the file that holds it."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value").withColumn("nth", F.monotonically_increasing_id())
+    return lines.where("file_block_start = 0").groupBy(F.col("file_path").alias("path")).agg(F.min_by("value", "nth").alias("head"))
+
+
+def _names(line: str) -> list[str]:
+    return next(csv.reader([line.lstrip("\ufeff")]), [])
+
+
 def read_csv(spark: SparkSession, path, schema: str, prefix: str = "") -> DataFrame:
-    """A CSV file with a header, columns found by name; ones that the schema lacks are left out."""
-    first = path if isinstance(path, str) else path[0]
-    header = spark.read.csv(first, header=True).columns
+    """CSV files with a header, columns found by name in each file, in the schema's order; ones that the schema lacks are left out, ones that a file lacks are NULL."""
     kinds = dict(x.strip().split(" ", 1) for x in schema.split(","))
-    typed = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header)
-    return with_file(spark.read.schema(typed).csv(path, header=True, nanValue="nan"), prefix).select("file", *[c for c in header if c in kinds])
+    parts = []
+    for head, paths in _by_header(spark, _first_lines(spark, path)):
+        header = [n if n in kinds else f"_unused_{i}" for i, n in enumerate(_names(head))]
+        typed = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header)
+        part = with_file(spark.read.schema(typed).csv(paths, header=True, nanValue="nan"), prefix)
+        parts.append(part.select("file", *[c for c in kinds if c in header]))
+    if not parts:
+        return spark.createDataFrame([], f"file string, {schema}")
+    out = union_outer(parts)
+    return out.select("file", *[c for c in kinds if c in out.columns])
 
 
 def read_tracking(spark: SparkSession, path) -> DataFrame:
@@ -126,22 +159,38 @@ def read_timestamps(spark: SparkSession, path) -> DataFrame:
 
 def read_temperature(spark: SparkSession, path: str | None) -> DataFrame:
     """Its columns as text; an empty frame without a file."""
-    if path is None or not list(Path(path).parent.glob(Path(path).name)):
-        return spark.createDataFrame([], "file string")
-    return with_file(spark.read.csv(path, header=True), "temperature_")
+    parts = []
+    for head, paths in _by_header(spark, _first_lines(spark, path)) if present(spark, path) else []:
+        typed = ", ".join(f"`{c}` string" for c in _names(head))
+        parts.append(with_file(spark.read.schema(typed).csv(paths, header=True), "temperature_"))
+    return union_outer(parts) if parts else spark.createDataFrame([], "file string")
 
 
 def read_pose(spark: SparkSession, path: str | None, points: list[str], prefix: str = "") -> DataFrame:
-    """(file, frame, <point>_<x|y|likelihood>): a CSV with three header rows (scorer, point, coordinate); an empty frame without a file."""
+    """(file, frame, <point>_<x|y|likelihood>): CSV files with three header rows (scorer, point, coordinate), columns found by name in each file; an empty frame without a file.
+
+    Where several scorers have a point, its last columns count.
+    """
     wide = [f"{p}_{c}" for p in points for c in ("x", "y", "likelihood")]
-    if path is None or not list(Path(path).parent.glob(Path(path).name)):
+    if not present(spark, path):
         return spark.createDataFrame([], "file string, frame long, " + ", ".join(f"`{c}` double" for c in wide))
-    head = spark.read.text(path).limit(3).collect()
-    names = [f"{p}_{c}" for p, c in zip(head[1].value.split(",")[1:], head[2].value.split(",")[1:])]
-    raw = spark.read.schema("frame string, " + ", ".join(f"`{c}` string" for c in names)).csv(path)
-    body = with_file(raw, prefix).where(F.col("frame").rlike(r"^\d+$"))
-    number = lambda c: F.expr(f"try_cast(`{c}` AS double)") if c in names else F.lit(None).cast("double")
-    return body.select("file", F.col("frame").cast("long").alias("frame"), *(number(c).alias(c) for c in wide))
+    # header rows are known by their first field, wherever a split of the file begins
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.col("value").rlike("^(bodyparts|coords),"))
+    row = lambda k: F.max(F.when(F.col("value").startswith(k), F.col("value"))).alias(k)
+    heads = lines.groupBy("path").agg(row("bodyparts"), row("coords")).select("path", F.array("bodyparts", "coords").alias("head"))
+    parts = []
+    for head, paths in _by_header(spark, heads):
+        if None in head:
+            raise ValueError(f"Not a pose table: {paths[0]}")
+        names = [f"{p}_{c}" for p, c in zip(*(_names(x)[1:] for x in head))]
+        last = {n: i for i, n in enumerate(names)}
+        raw = spark.read.schema("frame string, " + ", ".join(f"`{i}` string" for i in range(len(names)))).csv(paths)
+        number = lambda c, last=last: F.expr(f"try_cast(`{last[c]}` AS double)") if c in last else F.lit(None).cast("double")
+        body = with_file(raw, prefix).where(F.col("frame").rlike(r"^\d+$"))
+        parts.append(body.select("file", F.col("frame").cast("long").alias("frame"), *(number(c).alias(c) for c in wide)))
+    if not parts:
+        raise ValueError(f"Not a pose table: {path}")
+    return union_outer(parts)
 
 
 def read_datasets(spark: SparkSession, root: str, name: str = "bout_frequency.csv", schema: str | None = None) -> DataFrame:
@@ -178,6 +227,18 @@ def labelled_suggestions(suggestions: DataFrame, frames: DataFrame, keys: list[s
     return suggestions.join(frames.select(*keys).distinct(), keys, "left_semi")
 
 
+def load(spark: SparkSession, files: dict[str, str | None], points: list[str] = [], eye_points: list[str] = []) -> dict[str, DataFrame]:  # noqa: B006
+    """All tables of an experiment from its files by role (as a row of ``assemble`` names them, or patterns over many experiments); a required one that is not there is an error."""
+    lacking = [r for r, (_, _, required) in ROLES.items() if required and not present(spark, files.get(r))]
+    if lacking:
+        raise FileNotFoundError(f"No file for {', '.join(lacking)}")
+    out = {"metadata": read_metadata(spark, files["metadata"]), "stimuli": read_stimuli(spark, files["stimuli"]), "tracking": read_tracking(spark, files["tracking"])}
+    out |= {"temperature": read_temperature(spark, files.get("temperature")), "pose": read_pose(spark, files.get("pose"), points), "eyes": read_pose(spark, files.get("eyes"), eye_points, "eyes_")}
+    if present(spark, files.get("video_timestamps")):
+        out["video_timestamps"] = read_timestamps(spark, files["video_timestamps"])
+    return out
+
+
 def register(tables: dict[str, DataFrame]) -> None:
     """The tables of an experiment as temporary views, for SQL."""
     for name, df in tables.items():

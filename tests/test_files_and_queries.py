@@ -165,3 +165,22 @@ def test_plans(spark, sf):
     assert "Join" not in plan and "Exchange" not in plan
     for name in ("asof_state", "bout_in_trial", "nearest_frame", "frames_in_bout"):
         assert "NestedLoop" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_are_found_by_name_in_each_file_of_any_file_system(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b/tracking_x.csv").write_text("index,timestamp,identity\n1,100,0\n")
+    (tmp_path / "a b/tracking_y.csv").write_text("timestamp,extra,index\n200,z,2\n")
+    t = S.read_tracking(spark, f"file://{tmp_path}/a b/tracking_*.csv")
+    assert sorted((r.file, r["index"], r.timestamp, r.identity) for r in t.collect()) == [("x", 1, 100, 0), ("y", 2, 200, None)]
+    (tmp_path / "p.csv").write_text("scorer,s,s,s\nbodyparts,Head,Head,Head\ncoords,x,y,likelihood\n0,1.5,2,0.9\n")
+    (tmp_path / "q.csv").write_text("scorer,s,s,s\nbodyparts,Head,Head,Head\ncoords,likelihood,y,x\n0,0.8,5,7\n")
+    got = {r.file: (r.Head_x, r.Head_y, r.Head_likelihood) for r in S.read_pose(spark, f"file://{tmp_path}/[pq].csv", ["Head"]).collect()}
+    assert got == {"p": (1.5, 2.0, 0.9), "q": (7.0, 5.0, 0.8)}
+    (tmp_path / "temperature_z.csv").write_text("time,celsius\n1,28\n")
+    assert S.read_temperature(spark, f"file://{tmp_path}/temperature_*.csv").first().celsius == "28"
+    assert S.read_pose(spark, f"file://{tmp_path}/none*.csv", ["Head"]).count() == 0 and S.present(spark, None) == []
+    with pytest.raises(ValueError):
+        S.read_pose(spark, f"{tmp_path}/temperature_z.csv", ["Head"])
+    with pytest.raises(FileNotFoundError):
+        S.load(spark, {"metadata": f"{tmp_path}/none.metadata"})
