@@ -38,6 +38,19 @@ def path_length(step: Column, where: Column) -> Column:
     return F.coalesce(F.sum(F.when(where, step)), F.lit(0.0))
 
 
+def probability(bouts: DataFrame, proba: DataFrame, keys: list[str] = ["file", "bout_index"]) -> DataFrame:  # noqa: B006
+    """Each bout with the probability of its category, by its number; NULL where none is known."""
+    return bouts.drop("proba").join(proba.select(*keys, "proba"), keys, "left")
+
+
+def ethogram(frames: DataFrame, bouts: DataFrame, bucket: int = 256) -> DataFrame:
+    """(file, frame, category, sign): every frame with the bout [onset, offset) that it lies in, the one of the latest onset where several do; NULL between bouts."""
+    ids = frames.select("file", "frame")
+    met = points_in(ids, bouts.select("file", "onset", "offset", "category", "sign"), ["file"], "frame", "onset", "offset", bucket)
+    last = met.groupBy("file", "frame").agg(F.max(F.struct("onset", "category", "sign")).alias("_b"))
+    return ids.join(last, ["file", "frame"], "left").select("file", "frame", F.col("_b.category").alias("category"), F.col("_b.sign").alias("sign"))
+
+
 def metrics(segments: DataFrame, traj: DataFrame, trials: DataFrame, online: DataFrame, posthoc: DataFrame, wells: DataFrame, info: DataFrame, rollover: float = 3600.0, bucket: int = 256, first_previous: int | None = 0) -> DataFrame:
     """One row for every bout inside a trial.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import pandas as pd
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, functions as F
@@ -89,15 +90,15 @@ def poisson_model(df: DataFrame, formula: str, exposure: str | None = None, quas
     return _coefficients(df.sparkSession, names, est, [x * scale for x in err], stat, p), dispersion, model
 
 
-def spline_by_group(df: DataFrame, group: list[str], x: str, y: str, k: int = 3, ridge: float = 1e-8) -> DataFrame:
+def spline_by_group(df: DataFrame, group: list[str], x: str, y: str, k: int = 3, ridge: float = 1e-8, pooled: bool = False) -> DataFrame:
     """(group, term, estimate, std_error, statistic, p_value): an own intercept and cubic regression spline of ``k`` knots for each group.
 
-    Groups are fitted apart and each has its own residual scale; smoothness is
+    Groups are fitted apart; each has its own residual scale, or, ``pooled``, all have the one of
+    their residuals together, as the groups of one model have.  Smoothness is
     fixed by the knots (quantiles of x), not selected jointly, so standard errors
     are those of least squares on the spline's basis.
     """
     import numpy as np
-    import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.dropna(subset=[x, y])
@@ -114,14 +115,21 @@ def spline_by_group(df: DataFrame, group: list[str], x: str, y: str, k: int = 3,
         inv = np.linalg.inv(basis.T @ basis + ridge * np.eye(basis.shape[1]))
         beta = inv @ basis.T @ d[y].to_numpy(float)
         free = len(u) - len(beta)
-        s2 = float(((d[y].to_numpy(float) - basis @ beta) ** 2).sum() / free) if free > 0 else math.nan
-        err = np.sqrt(np.diag(inv) * s2)
-        t = beta / np.where(err > 0, err, np.nan)
-        return pd.DataFrame({**{g: v for g, v in zip(group, keys)}, "term": names, "estimate": beta, "std_error": err, "statistic": t, "p_value": [t_p(float(v), free) for v in t]})
+        rss = float(((d[y].to_numpy(float) - basis @ beta) ** 2).sum())
+        return pd.DataFrame({**{g: v for g, v in zip(group, keys)}, "term": names, "estimate": beta, "_unit": np.diag(inv), "_rss": rss, "_free": max(0, free)})
+
+    @F.pandas_udf("double")
+    def two_sided(t: pd.Series, free: pd.Series) -> pd.Series:
+        return pd.Series([t_p(float(a), float(b)) for a, b in zip(t, free)])
 
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", term string, estimate double, std_error double, statistic double, p_value double"
-    return df.groupBy(*group).applyInPandas(run, schema)
+    fits = df.groupBy(*group).applyInPandas(run, ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", term string, estimate double, _unit double, _rss double, _free long")
+    if pooled:  # one row
+        one = fits.where("term = '(Intercept)'").agg(F.sum("_rss").alias("_rss"), F.sum("_free").alias("_free"))
+        fits = fits.drop("_rss", "_free").crossJoin(one)
+    err = F.sqrt(F.col("_unit") * F.try_divide(F.col("_rss"), F.col("_free")))
+    out = fits.withColumn("std_error", F.coalesce(err, F.lit(math.nan))).withColumn("statistic", F.when(F.col("std_error") > 0, F.try_divide(F.col("estimate"), F.col("std_error"))).otherwise(F.lit(math.nan)))
+    return out.withColumn("p_value", two_sided("statistic", "_free")).select(*group, "term", "estimate", "std_error", "statistic", "p_value")
 
 
 def random_intercept(df: DataFrame, group: list[str], subject: str, y: str) -> DataFrame:

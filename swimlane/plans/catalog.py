@@ -357,7 +357,7 @@ def kde(spark, d):
     return Q.kde(events(spark, d), "value", [10.0 * i for i in range(11)], 8.0, ["event_type"]).select("event_type", "x", F.round("density", 9).alias("density"))
 
 
-@query("SELECT user_id, count_if(event_type = 'purchase') AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(count_if(event_type = 'purchase') AS BIGINT) AS n FROM events GROUP BY user_id")
 def category_count(spark, d):
     return C.count_by(events(spark, d), KEYS, F.col("event_type") == "purchase")
 
@@ -459,7 +459,7 @@ def _counts(spark, d) -> DataFrame:
 @query()
 def poisson_glm(spark, d):
     c, dispersion, _ = T.poisson_model(_counts(spark, d).withColumn("days", F.col("us") / 8.64e10 + 1), "n ~ event_type", "days", quasi=True)
-    return c.select("term", *(r6(x, x) for x in c.columns[1:]), F.lit(round(dispersion, 6)).alias("dispersion"))
+    return c.select("term", *(F.round(x, 4 if x == "statistic" else 6).alias(x) for x in c.columns[1:]), F.lit(round(dispersion, 6)).alias("dispersion"))
 
 
 @query()
@@ -470,7 +470,7 @@ def linear_model(spark, d):
 
 @query()
 def spline_model(spark, d):
-    c = T.spline_by_group(_counts(spark, d), ["event_type"], "n", "value")
+    c = T.spline_by_group(_counts(spark, d), ["event_type"], "n", "value", pooled=True)
     return c.select("event_type", "term", r6("estimate", "estimate"), r6("std_error", "std_error"))
 
 
@@ -496,3 +496,6 @@ def frames_in_bout(spark, d):
     e = events(spark, d)
     i = e.where(F.col("event_type").isin(STIM)).select("user_id", F.col("event_id").alias("k"), F.col("us").alias("lo"), (F.col("us") + 21_600_000_000).alias("hi"))
     return J.points_in(e.select("user_id", "us", "value"), i, KEYS, "us", "lo", "hi", 43_200_000_000.0).groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+from . import experiment  # noqa: E402, F401  adds its queries
