@@ -1,17 +1,17 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 Method: a candidate is a string that a sensitive name is given (``password=``,
-``token: "..."``, an authorisation header) or that stands under a PEM private key's heading,
-whole, however long it or its name is.  A compressor primed with a dictionary
-of code and identifiers compresses the text around the candidate once without and
+``token: "..."``, an authorisation header), that stands under a PEM private key's heading, or that
+begins as an issuer's keys do (``AKIA``, ``ghp_``), whole, however long it or its name is.  A compressor primed with a dictionary
+of code and identifiers compresses the text around the candidate (``around`` characters either side: what is near is what it could repeat) once without and
 once with it; the difference is what the candidate adds (its own copies nearby are left
 out of the surroundings).  Words, placeholders and
 identifiers, which the dictionary or the surroundings have, add little; a random
 key adds close to its entropy.  Candidates that add enough bytes, and enough for
 each character, are reported.
 
-Plan: one pass without a shuffle; texts without a sensitive name are dropped by a
-regular expression before Python sees them.
+Plan: one pass without a shuffle; texts without a sensitive name or prefix are passed over by one
+linear-time regular expression over the Arrow batch, before they become Python strings.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .common import batch, id_text
+from .textkernel import strings
 
 AROUND = 400
 MIN_BYTES = 8
@@ -37,7 +39,9 @@ VALUE = re.compile(r"""(?i)["']?(?:\s*+(?:[:=]{1,2}>?|\bis\b)\s*+|\s++)(?:(?P<q>
 _BREAK = r"(?:\s|\\[nr])"  # written out in strings of code
 #: What follows "PRIVATE KEY": headers, long lines, and shorter ones before the end mark.
 PEM = re.compile(rf"(?: BLOCK)?-----{_BREAK}*+(?:[A-Za-z][\w-]*+: [^\n\\]*+{_BREAK}++)*+(?P<pem>[A-Za-z0-9+/]{{32,}}+={{0,2}}(?:{_BREAK}++[A-Za-z0-9+/]{{32,}}+={{0,2}})*+(?:(?:{_BREAK}++=?[A-Za-z0-9+/]++={{0,2}}){{1,2}}(?={_BREAK}*+-----))?)")
-PREFILTER = f"(?i)(?:{NAMES})"
+#: Keys that are known by how they begin, wherever they stand.
+ISSUED = re.compile(r"(?<![A-Za-z0-9_-])(?P<prefix>AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk-|sk_live_|eyJ)(?P<rest>[A-Za-z0-9_-]{16,}+(?:\.[A-Za-z0-9_-]++)*+)")
+PREFILTER = f"(?i:{NAMES})|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|sk-|sk_live_|eyJ"
 #: What a key would be new against: words of code, placeholders and names.
 DICTIONARY = (
     "function return import from class public private static void string int boolean null true false none self this value default config settings options "
@@ -56,10 +60,16 @@ class Novelty:
     def __init__(self, dictionary: bytes = DICTIONARY, level: int = 3):
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.press = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False)
+        self.known = dictionary.lower()
+        self.empty = len(self.press.compress(b""))
 
     def added(self, before: str, candidate: str, after: str) -> int:
-        around = (before + after).replace(candidate, "").encode()  # a key that is repeated is no less a key
-        return len(self.press.compress(around + candidate.encode())) - len(self.press.compress(around))
+        around, new = (before + after).replace(candidate, "").encode("utf-8", "replace"), candidate.encode("utf-8", "replace")  # a key that is repeated is no less a key
+        size = lambda x: len(self.press.compress(x))
+        if new.lower() in self.known:  # of a few bytes, a reference costs as many as they have
+            return 0
+        # a few bytes more can make the coding of the surroundings another one: what the dictionary alone has is not new either
+        return min(size(around + new) - size(around), size(new) - self.empty)
 
 
 def found(text: str, novelty: Novelty, around: int = AROUND, min_bytes: int = MIN_BYTES, min_ratio: float = MIN_RATIO) -> list[tuple[int, int, str, int, float]]:
@@ -86,7 +96,14 @@ def found(text: str, novelty: Novelty, around: int = AROUND, min_bytes: int = MI
             at = floor = b
         else:
             at = floor = until  # the value may itself be a name
-    return out
+    for m in ISSUED.finditer(text):
+        a, b = m.span()
+        if any(a < z and b > s for s, z, *_ in out) or not re.search(r"\d", m[0]):
+            continue
+        added = novelty.added(text[max(0, a - around) : a], m[0], text[b : b + around])
+        if added >= min_bytes and added / len(m[0]) >= min_ratio:
+            out.append((a, b, m["prefix"], added, round(added / len(m[0]), 6)))
+    return sorted(out)
 
 
 def secrets(docs: DataFrame, around: int = AROUND, min_bytes: int = MIN_BYTES, min_ratio: float = MIN_RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,9 +117,11 @@ def secrets(docs: DataFrame, around: int = AROUND, min_bytes: int = MIN_BYTES, m
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for b in batches:
+            some = pc.match_substring_regex(strings(b.column(1)), PREFILTER)
+            b = b.filter(some)
             out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in found(t, novelty, around, min_bytes, min_ratio)]
             if out:
                 yield batch(schema, list(zip(*out)))
 
-    has = id_text(docs, id_col, text_col).where("doc_id is not null").where(F.col("text").rlike(PREFILTER))
+    has = id_text(docs, id_col, text_col).where("doc_id is not null")
     return has.mapInArrow(run, "doc_id long, start int, end int, name string, added_bytes int, ratio double")

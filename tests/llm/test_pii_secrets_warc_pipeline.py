@@ -246,3 +246,54 @@ def test_personal_data_of_any_length_is_found_whole(value, make):
 def test_many_groups_cost_little():
     for text in ("12 " * 5000, "9" * 50_000, "a" * 200_000, "1." * 20_000, "x@" * 20_000):
         assert len(pii.candidates(text)) <= 10 * len(text)
+
+
+def test_keys_known_by_how_they_begin():
+    r, n = random.Random(12), Z.Novelty()
+    key = lambda k: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=k))
+    for value in ("AKIA" + key(16), "ghp_" + key(36), "xoxb-" + key(12) + "-" + key(24), "eyJ" + key(30) + "." + key(60) + "." + key(43)):
+        text = f"see {value}, as it stands in the notes"
+        assert [text[a:b] for a, b, *_ in Z.found(text, n)] == [value]
+        assert len(Z.found(f'token = "{value}" and', n)) == 1  # once, though it has a name too
+    assert not Z.found("sk-learn-compatible-estimators and ASIA PACIFIC, eyJ", n)
+
+
+def test_secrets_against_planted_keys(spark, make):
+    """An own oracle: random keys planted in prose at known places, decoys beside them."""
+    r = random.Random(13)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(500)]
+    say = lambda k: " ".join(r.choices(words, k=k))
+    rows, want = [], set()
+    for i in range(300):
+        lead, kind = say(r.randint(5, 40)) + " ", i % 3
+        value = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=r.randint(20, 60))) + "7"
+        if kind == 0:
+            rows.append((i, f'{lead}api_key = "{value}" {say(10)}'))
+            want.add((i, len(lead) + 11, value))
+        elif kind == 1:
+            rows.append((i, f"{lead}commit {value} {say(10)}"))  # no sensitive name
+        else:
+            rows.append((i, f'{lead}password = "{r.choice(["changeme", "your_password", "placeholder", "xxxxxxxxxxxx"])}" {say(10)}'))
+    got = {(x.doc_id, x.start, dict(rows)[x.doc_id][x.start : x.end]) for x in Z.secrets(make(rows)).collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(rows)
+
+
+def test_pii_against_planted_spans(make):
+    """An own oracle: personal data of other shapes than the training rows' generator writes, and look-alikes."""
+    r = random.Random(14)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(500)]
+    say = lambda k: " ".join(r.choices(words, k=k))
+    d = lambda k: "".join(r.choices("123456789", k=k))
+    real = [lambda: f"{r.choice(words)}-{r.choice(words)}@{r.choice(words)}.info", lambda: f"+49 {d(3)} {d(4)} {d(3)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"192.168.{r.randint(1, 254)}.{r.randint(1, 254)}", lambda: f"{r.randint(101, 600)}-{r.randint(11, 99)}-{r.randint(1001, 9999)}"]
+    other = [lambda: f"in {r.randint(1900, 2029)}", lambda: f"{d(2)}%", lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"page {d(3)}", lambda: f"at {d(1)}:{r.randint(10, 59)}", lambda: f"$ {d(3)}.{d(2)}"]
+    rows, want = [], set()
+    for i in range(400):
+        lead = say(r.randint(3, 30)) + " "
+        if i % 2:
+            value = r.choice(real)()
+            rows.append((i, f"{lead}{value} {say(6)}"))
+            want.add((i, len(lead), value))
+        else:
+            rows.append((i, f"{lead}{r.choice(other)()} {say(6)}"))
+    got = {(x.doc_id, x.start, x.value) for x in pii.personal_data(make(rows)).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.03 * len(rows)
