@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, near_dedup, order_minhash, packing, pii, secrets, token_counts, toxicity, warc
+from . import decontamination, line_dedup, near_dedup, order_minhash, packing, pii, secrets, sql, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,6 +60,8 @@ _HEX = "substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13,
 _FIELDS = {v: f.replace("'", "''") for v, f in warc.FIELDS.items()}
 
 SQL: dict[str, str] = {
+    "op5_packing": sql.packs(),
+    "op6_simhash": sql.simhash_groups(),
     "op10_warc": f"""
 WITH p AS (
   SELECT page_id AS k, 'page-' || page_id || '.arc' AS file, regexp_replace(coalesce(url, ''), '\\s', '%20', 'g') AS url,
