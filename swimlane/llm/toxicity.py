@@ -9,7 +9,7 @@ are folded first, and marks at a token's ends (``moron!!``) are read both as let
 ``*`` is a stem: it matches, unedited, at the beginning of a token.  Stems come
 from ``learn_lexicon``, which fits a lexicon on a bounded sample of labelled
 rows.  A hit is then weighed by the words
-around it: quotation marks and reporting words lower it, address raises it.  A
+around it: quotation (paired marks, over several words too) and reporting words lower it, address raises it, in four languages.  A
 document's score is the sum over its hits, less what clean text of its length
 would score by the stems' natural rates.
 
@@ -44,9 +44,16 @@ THRESHOLD = 0.8
 MAX_LABELLED = 800
 WINDOW = 6
 FUZZY = 0.55  # what a misspelled term counts against an exact one
-REPORTING = frozenset("quote quoted quotes quoting said says wrote written called word words term terms slur slurs insult insults phrase example meaning definition defined translates cites cited".split())
-ADDRESS = frozenset("you your you're youre yourself u ur".split())
-QUOTES = "\"'“”„«»‘’`"
+REPORTING = frozenset((
+    "quote quoted quotes quoting said says wrote written called word words term terms slur slurs insult insults phrase example meaning definition defined translates cites cited shouted yelled replied "
+    "dit disait mot mots terme termes insulte insultes citation cité cite traité signifie définition crié sagte sagt wort wörter begriff schimpfwort beleidigung zitat zitiert genannt bedeutet rief "
+    "dijo dice palabra palabras término insulto insultos cita citado llamado significa definición gritó").split())
+ADDRESS = frozenset("you your you're youre yourself u ur du dich dir dein deine deiner tu toi ton vous votre usted ustedes eres".split())
+QUOTES = '"“”„«»`'
+#: Marks that begin a quotation, how they end it, and over how many words.
+PAIRS = {'"': ('"', 40), "“": ('”"', 40), "„": ('“”"', 40), "«": ("»", 40), "»": ("«", 40), "`": ("`'", 12), "‘": ("’'", 12), "'": ("'’", 12)}
+AFTER_QUOTE = ".,;:!?)]…-–"
+POSSESSIVE = ("'s", "’s")
 MARKS = ("!", "$")  # signs that are look-alikes too
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -150,6 +157,9 @@ class Lexicon:
             s[open_] += 1
         while (open_ := np.flatnonzero((e - s > 1) & ~letter[e - 1])).size:
             e[open_] -= 1
+        raw = chunk.data
+        ends = (e - s > 2) & (raw[e - 1] | 0x20 == 115)
+        e = e - 2 * (ends & (raw[e - 2] == 39)) - 4 * (ends & (e - s > 4) & (raw[e - 4] == 0xE2) & (raw[e - 3] == 0x80) & (raw[e - 2] == 0x99))
         # a second reading where a mark stands at an end
         mark = (chunk.data == 33) | (chunk.data == 36)
         also = np.flatnonzero((e - s > 1) & (mark[s] | mark[e - 1]))
@@ -183,6 +193,7 @@ class Lexicon:
         """Sum of weighed hits, and the terms hit in text order."""
         raw = text.split()
         bare = [strip(w) for w in raw]
+        inside = quoted(raw)
         total, terms = -self.natural * len(raw), []
         for i, w in enumerate(bare):
             found = self.read(w)
@@ -191,7 +202,7 @@ class Lexicon:
             term, edits = found
             near = {x.lower() for x in bare[max(0, i - WINDOW) : i] + bare[i + 1 : i + 1 + WINDOW]}
             weight = self.severity[term] * (FUZZY if edits else 1.0)
-            if any(q in raw[i] for q in QUOTES):
+            if inside[i] or any(q in raw[i] for q in QUOTES):
                 weight *= 0.25
             elif near & REPORTING:
                 weight *= 0.5
@@ -202,17 +213,32 @@ class Lexicon:
         return round(total, 6), terms
 
 
+def quoted(raw: list[str]) -> list[bool]:
+    """Which tokens stand between the marks of a quotation; an apostrophe opens one only at a word's beginning."""
+    out, i = [False] * len(raw), 0
+    while i < len(raw):
+        ends, most = PAIRS.get(raw[i].lstrip("([")[:1], ("", 0))
+        for j in range(i, min(len(raw), i + most)):
+            w = raw[j].rstrip(AFTER_QUOTE)
+            if w[-1:] in ends and w and (j > i or len(w.lstrip("([")) > 1):
+                out[i : j + 1] = [True] * (j + 1 - i)
+                i = j
+                break
+        i += 1
+    return out
+
+
 def strip(word: str, marks: tuple[str, ...] = ()) -> str:
-    """The token without what is no letter, look-alike (but ``marks``) or byte above ASCII at its ends; one character at least stays."""
+    """The token without what is no letter, look-alike (but ``marks``) or byte above ASCII at its ends, and without a possessive's ending; one character at least stays."""
     if word[:1].isalpha() and word[-1:].isalpha():
-        return word
+        return word[:-2] if len(word) > 2 and word[-2:].lower() in POSSESSIVE else word
     a, b, f = 0, len(word), fold(word) if word.isascii() else [fold(c)[:1] or c for c in word]
     ok = lambda c: "a" <= c <= "z" or c >= "\x80"
     while b - a > 1 and (word[a] in marks or not ok(f[a])):
         a += 1
     while b - a > 1 and (word[b - 1] in marks or not ok(f[b - 1])):
         b -= 1
-    return word[a:b]
+    return word[a : b - 2] if b - a > 2 and word[b - 2 : b].lower() in POSSESSIVE else word[a:b]
 
 
 _LEXICONS: dict[tuple, Lexicon] = {}
@@ -240,7 +266,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, base: dict[str, float] = L
     times that in clean text and that at least three toxic rows, and one in a hundred, have between
     neighbours that no other row has it between (so copies of one text count once),
     with a log-likelihood ratio beyond what the number of beginnings explains.  The threshold is the
-    one that parts the sampled rows best, at 0.8 or above.  Without labelled rows of
+    one that best parts sampled rows of either half by stems of the other half, at 0.8 or above.  Without labelled rows of
     both classes the base lexicon is returned.  Null ids, texts and labels are
     left out; an id that is labelled both ways counts as either.
     """
@@ -249,21 +275,33 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, base: dict[str, float] = L
     picked = [tuple(r) for t in (0, 1) for r in ids.where(F.col("toxic") == t).orderBy("h", "doc_id").limit(max_labelled).select("doc_id", "toxic").collect()]
     if len({t for _, t in picked}) < 2:
         return Model(base)
-    sample = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").where("text <> ''").select("toxic", "text").distinct().collect()
-    return fit([(r.toxic, r.text) for r in rows], base)
+    # the few ids are a filter of the scan: no join, and no text is shuffled
+    rows = id_text(docs, id_col, text_col).where(F.col("doc_id").isin(sorted({i for i, _ in picked}))).where("text <> ''").collect()
+    classes: dict[int, set[int]] = {}
+    for i, t in picked:
+        classes.setdefault(i, set()).add(t)
+    return fit(sorted({(t, r.text) for r in rows for t in classes[r.doc_id]}), base)
 
 
 def fit(rows: list[tuple[int, str]], base: dict[str, float] = LEXICON) -> Model:
     """The model of ``learn_lexicon`` from (label, text) pairs."""
     rows = sorted(rows)
+    scores: list[tuple[float, int]] = []
+    for n in (0, 1):  # neither half is scored by what it taught
+        scores += _scores(Lexicon(*_learn(rows[n::2], base)), rows[1 - n :: 2])
+    terms, rates = _learn(rows, base)
+    return Model(terms, rates, _threshold(sorted(scores)))
+
+
+def _learn(rows: list[tuple[int, str]], base: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """Terms with severities and the stems' rates in clean text."""
     seen: list[dict[str, int]] = [{}, {}]
     words, contexts, support = [1, 1], set(), {}
     for label, text in rows:
         w, new = [strip(x) for x in text.lower().split()], set()
         words[label] += len(w)
         for before, x, after in zip(["", *w], w, [*w[1:], ""]):
-            if len(x) >= 3 and (key := hash((label, x, before, after))) not in contexts:
+            if len(x) >= 3 and (key := (label, x, before, after)) not in contexts:
                 contexts.add(key)
                 seen[label][x] = seen[label].get(x, 0) + 1
                 new.add(x)
@@ -302,12 +340,18 @@ def fit(rows: list[tuple[int, str]], base: dict[str, float] = LEXICON) -> Model:
         if seen[1].get(longer, 0) >= 0.9 * good[longer]:
             stems[longer] = 1.0  # a word of its own, of which misspellings count too
         rates[longer + "*"] = counts[0].get(longer, 0) / words[0]
-    terms = stems | base
-    lex = Lexicon(terms, rates)
+    return stems | base, rates
+
+
+def _scores(lex: Lexicon, rows: list[tuple[int, str]]) -> list[tuple[float, int]]:
+    """(score, label) of each row."""
     hits: set[int] = set()
     for c in chunks(pa.array([t for _, t in rows], pa.string())):
         hits.update((c.first + lex.rows_with_hits(c)).tolist())
-    scores = sorted((lex.score(t)[0] if n in hits else 0.0, label) for n, (label, t) in enumerate(rows))
+    return [(lex.score(t)[0] if n in hits else 0.0, label) for n, (label, t) in enumerate(rows)]
+
+
+def _threshold(scores: list[tuple[float, int]]) -> float:
     n = [sum(label == k for _, label in scores) or 1 for k in (0, 1)]
     left, best = [0, 0], (-1.0, THRESHOLD)
     below = 0.0
@@ -319,7 +363,7 @@ def fit(rows: list[tuple[int, str]], base: dict[str, float] = LEXICON) -> Model:
                 best = (gain, at)
         below = max(below, s)
         left[label] += 1
-    return Model(terms, rates, round(best[1], 6))
+    return round(best[1], 6)
 
 
 def toxic_scores(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

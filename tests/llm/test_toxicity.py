@@ -101,3 +101,19 @@ def test_marks_at_the_ends(make):
     got = {r.doc_id: tuple(r.terms) for r in T.toxic_scores(make(rows)).collect()}
     assert got == {1: ("moron",), 2: ("moron",), 3: ("scum",), 4: ("scum",), 5: ("stupid",), 6: ("idiot",), 7: ("bitch",), 9: ("moron",)}
     assert {r.doc_id for r in T.drop_toxic(make(rows)).collect()} == {8}
+
+
+def test_quotation_over_several_words(make):
+    rows = [
+        (1, '"you are an idiot today" he shouted'), (2, "you idiots' club"), (3, "il a dit connard"), (4, "er nannte ihn „ein dummer Dummkopf“ und ging"), (5, "«quel connard» a-t-il crié"), (6, "'what an idiot' she thought"),
+        (7, "you idiot's fool"), (8, "you idiot’s"), (9, 'say "hello" you idiot and "go"'), (10, "the moron's car, it's the dog's"), (11, '"a mark that is never closed, you idiot'), (12, "dijo la palabra pendejo"), (13, "tu es un connard"),
+    ]
+    got = {r.doc_id for r in T.toxic_scores(make(rows)).collect()}
+    assert got == {7, 8, 9, 10, 11, 13}
+    assert T.quoted('a "b c" d "e" f \'g h\' i\' "j'.split()) == [False, True, True, False, True, False, True, True, False, False]
+
+
+def test_threshold_is_of_rows_that_did_not_teach(spark, sf):
+    rows = [(n % 2, f"the a{n} {'zworble' if n % 4 == 1 else 'plain'} b{n} number{n} of the sample and so on") for n in range(400)]
+    m = T.fit(rows)
+    assert any(t.startswith("zwor") for t in m.terms) and m.threshold >= T.THRESHOLD
