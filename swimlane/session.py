@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -31,6 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="swimlane-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
