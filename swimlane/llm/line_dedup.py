@@ -13,9 +13,11 @@ found in the same way.  The whole text is one more fingerprint, so that nothing
 left of a copy.
 
 Plan: the texts go once through a kernel that emits a fingerprint's hash, place
-and a few neighbouring line hashes (no text).  The first document of each hash
-is a map-side combined aggregate; the runs to delete are gathered by document
-and joined back, and the texts are cut in a second pass.
+and a few neighbouring line hashes (no text).  The places of a hash are brought together and sorted by
+document, and a running window, which holds none of them, hands each the first one's neighbours; a hash that very many documents
+have is thus one task's, which spills.  The runs to delete are gathered by document
+and joined back, and the texts are cut in a second pass.  Grams have 64-bit hashes and neighbours 32-bit ones; texts
+are not compared again (of a million million fingerprints some ten thousand would meet by chance).
 """
 
 from __future__ import annotations
