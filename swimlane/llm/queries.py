@@ -60,6 +60,8 @@ _HEX = "substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13,
 _FIELDS = {v: f.replace("'", "''") for v, f in warc.FIELDS.items()}
 
 SQL: dict[str, str] = {
+    "op1_decontamination": sql.decontamination(),
+    "op2_line_dedup": sql.line_dedup(),
     "op5_packing": sql.packs(),
     "op6_simhash": sql.simhash_groups(),
     "op10_warc": f"""

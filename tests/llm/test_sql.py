@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, sf, name):
     df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     with duckdb.connect() as c:
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "benchmark"):
             p = Path(sf, f"{t}.parquet")
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p}/*.parquet'" if p.is_dir() else f"CREATE VIEW {t} AS SELECT * FROM '{p}'")
         o = c.execute(SQL[name])
