@@ -152,6 +152,49 @@ def random_intercept(df: DataFrame, group: list[str], subject: str, y: str) -> D
     return g.select(*group, mean.alias("mean"), between.alias("subject_var"), msw.alias("residual_var"), F.col("k").alias("n_subjects"), F.sqrt(between / F.col("k") + msw / F.col("N")).alias("std_error"))
 
 
+def mixed_model(df: DataFrame, subject: str, y: str, x: list[str]) -> DataFrame:
+    """(term, estimate, std_error, statistic, subject_var, residual_var): y ~ 1 + x + (1 | subject) for numeric columns x (a group is its 0/1 columns).
+
+    Variances by moments (the within-subject residual; the excess of the pooled one, at least 0), then generalised least
+    squares.  One aggregate by subject makes all sums of products, and a second one adds
+    them up; the driver solves systems of the size of the coefficients.  Rows with a missing value are left out.
+    """
+    import numpy as np
+
+    cols = [F.lit(1.0), *(F.col(c).cast("double") for c in x), F.col(y).cast("double")]
+    p, m = len(x) + 1, len(cols)
+    full = F.lit(True)
+    for c in cols[1:]:
+        full = full & c.isNotNull() & ~F.isnan(c)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    per = df.where(full).groupBy(subject).agg(*(F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs))
+    mean = lambda i, j: F.col(f"s0_{i}") * F.col(f"s0_{j}")  # noqa: E731  sums of a subject's columns
+
+    def matrix(of) -> tuple[np.ndarray, int]:
+        row = per.agg(*(F.sum(of(i, j)).alias(f"m{i}_{j}") for i, j in pairs), F.count("*").alias("k")).first()
+        a = np.zeros((m, m))
+        for i, j in pairs:
+            a[i, j] = a[j, i] = row[f"m{i}_{j}"] or 0.0
+        return a, row["k"]
+
+    total, k = matrix(lambda i, j: F.col(f"s{i}_{j}"))
+    within, _ = matrix(lambda i, j: F.col(f"s{i}_{j}") - mean(i, j) / F.col("s0_0"))
+    squares, _ = matrix(mean)
+    n, varying = total[0, 0], [i for i in range(1, p) if within[i, i] > 1e-9 * max(1.0, total[i, i])]
+    wx, wy = within[np.ix_(varying, varying)], within[varying, -1]
+    rank = int(np.linalg.matrix_rank(wx)) if varying else 0
+    residual = (within[-1, -1] - (wy @ np.linalg.pinv(wx) @ wy if varying else 0.0)) / max(1.0, n - k - rank)
+    inv = np.linalg.pinv(total[:p, :p])
+    rss = total[-1, -1] - total[:p, -1] @ inv @ total[:p, -1]
+    between = max(0.0, (rss - (n - p) * residual) / max(1e-12, n - np.trace(inv @ squares[:p, :p])))
+    shrink = F.lit(between) / (F.lit(residual) + F.col("s0_0") * F.lit(between)) if residual + between > 0 else F.lit(0.0)
+    gls, _ = matrix(lambda i, j: F.col(f"s{i}_{j}") - shrink * mean(i, j))
+    inv = np.linalg.pinv(gls[:p, :p])
+    beta, err = inv @ gls[:p, -1], np.sqrt(np.maximum(np.diag(inv), 0) * residual)
+    rows = [(t, float(b), float(e), float(b / e) if e > 0 else math.nan, float(between), float(residual)) for t, b, e in zip(["(Intercept)", *x], beta, err)]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, statistic double, subject_var double, residual_var double")
+
+
 def nested_anova(small, large) -> tuple[float, float, float]:
     """(F, p, extra terms) of two nested linear models on the same rows."""
     a, b = small.summary, large.summary

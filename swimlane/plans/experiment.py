@@ -461,6 +461,19 @@ def fitted_and_residuals(spark, d):
     return T.residuals(model, c, "value ~ event_type + n", "value").select("user_id", "event_type", r6("prediction", "prediction"), r6("residual", "residual"))
 
 
+@query("""WITH p AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(event_id % 10) AS DOUBLE) AS sx, sum(value) AS sy, CAST(sum(pow(event_id % 10, 2)) AS DOUBLE) AS xx, sum(event_id % 10 * value) AS xy, sum(value * value) AS yy FROM events WHERE value IS NOT NULL GROUP BY user_id),
+w AS (SELECT sum(xx - sx * sx / n) AS wxx, sum(xy - sx * sy / n) AS wxy, sum(yy - sy * sy / n) AS wyy, sum(n) AS nn, count(*) AS k, sum(sx) AS tx, sum(sy) AS ty, sum(xx) AS txx, sum(xy) AS txy, sum(yy) AS tyy, sum(n * n) AS m0, sum(n * sx) AS m1, sum(sx * sx) AS m2 FROM p),
+v AS (SELECT (wyy - wxy * wxy / wxx) / (nn - k - 1) AS s2, nn * txx - tx * tx AS det, * FROM w),
+o AS (SELECT *, tyy - (ty * (txx * ty - tx * txy) + txy * (nn * txy - tx * ty)) / det AS rss, (txx * m0 - 2 * tx * m1 + nn * m2) / det AS tr FROM v),
+t AS (SELECT s2, greatest(0, (rss - (nn - 2) * s2) / (nn - tr)) AS t2 FROM o),
+g AS (SELECT any_value(s2) AS s2, any_value(t2) AS t2, sum(n - c * n * n) AS a0, sum(sx - c * n * sx) AS a1, sum(xx - c * sx * sx) AS a2, sum(sy - c * n * sy) AS r0, sum(xy - c * sx * sy) AS r1 FROM (SELECT p.*, s2, t2, t2 / (s2 + n * t2) AS c FROM p, t)),
+f AS (SELECT *, a0 * a2 - a1 * a1 AS d FROM g)
+SELECT u.term, round(u.b, 5) AS estimate, round(u.e, 6) AS std_error, round(t2, 4) AS subject_var, round(s2, 4) AS residual_var FROM f, LATERAL (VALUES ('(Intercept)', (a2 * r0 - a1 * r1) / d, sqrt(s2 * a2 / d)), ('x', (a0 * r1 - a1 * r0) / d, sqrt(s2 * a0 / d))) u(term, b, e)""")
+def mixed_model(spark, d):
+    m = T.mixed_model(events(spark, d).withColumn("x", F.pmod("event_id", F.lit(10))), "user_id", "value", ["x"])
+    return m.select("term", F.round("estimate", 5).alias("estimate"), r6("std_error", "std_error"), F.round("subject_var", 4).alias("subject_var"), F.round("residual_var", 4).alias("residual_var"))
+
+
 @query(f"""WITH {_COUNTS}, s AS (SELECT g, avg(v) AS mv, avg(n) AS mn FROM c GROUP BY g), x AS (SELECT sum((n - mn) * (v - mv)) / sum(pow(n - mn, 2)) AS b FROM c JOIN s USING (g)),
 r AS (SELECT sum(pow(v - mv, 2)) AS r0, sum(pow(v - mv - b * (n - mn), 2)) AS r1, count(*) - any_value(m) - 1 AS df FROM c JOIN s USING (g) JOIN lv USING (g), x)
 SELECT round((r0 - r1) / (r1 / df), 5) AS f, 1 AS extra FROM r""")

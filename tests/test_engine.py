@@ -414,3 +414,28 @@ def test_random_intercept_of_balanced_groups(spark):
     r = T.random_intercept(d, ["g"], "s", "v").first()
     msw = x.var(axis=1, ddof=1).mean()
     assert r.mean == pytest.approx(x.mean()) and r.residual_var == pytest.approx(msw) and r.subject_var == pytest.approx(x.mean(axis=1).var(ddof=1) - msw / 5)
+
+
+def test_mixed_model_against_generalised_least_squares(spark):
+    import numpy as np
+
+    from swimlane.operators.stats import mixed_model
+
+    r = np.random.default_rng(3)
+    rows = []
+    for fish in range(60):
+        u, g = r.normal(0, 2), fish % 2
+        for _ in range(int(r.integers(3, 12))):
+            x = float(r.normal())
+            rows.append((fish, float(g), x, float(5 + 1.5 * g - 0.7 * x + u + r.normal(0, 1))))
+    out = {o.term: o for o in mixed_model(spark.createDataFrame(rows + [(1, 0.0, None, 3.0), (1, 0.0, 1.0, float("nan"))], "fish int, g double, x double, y double"), "fish", "y", ["g", "x"]).collect()}
+    any_ = out["x"]
+    a = np.array(rows)
+    z, y, fish = np.column_stack((np.ones(len(a)), a[:, 1], a[:, 2])), a[:, 3], a[:, 0]
+    cov = np.where(fish[:, None] == fish[None, :], any_.subject_var, 0.0) + np.eye(len(a)) * any_.residual_var
+    w = np.linalg.inv(cov)
+    inv = np.linalg.inv(z.T @ w @ z)
+    beta = inv @ z.T @ w @ y
+    for k, t in enumerate(("(Intercept)", "g", "x")):
+        assert abs(out[t].estimate - beta[k]) < 1e-8 and abs(out[t].std_error - np.sqrt(inv[k, k])) < 1e-8
+    assert abs(any_.subject_var - 4) < 2 and abs(any_.residual_var - 1) < 0.3
