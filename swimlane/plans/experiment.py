@@ -5,6 +5,7 @@ Queries about files write them from a table into the shared folder first and rea
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,7 +14,7 @@ from ..functions import geometry as G, stimulus as S, text as X
 from ..operators import bouts as B, compare as C, frequency as Q, joins as J, stats as T, timeseries as W, trials as R
 from ..session import shared_folder
 from ..sources import files as files_, sinks as K
-from .catalog import _BOUTS, _ST, _TRIALS, _counts, _stim, KEYS, ORDER, SQL, STIM, E, bouts_of, events, query, r6, read
+from .catalog import _BOUTS, _ST, _TRIALS, _counts, _stim, KEYS, ORDER, SQL, STIM, E, bouts_of, events, query, r6, read, trials_of
 from .dims import CATEGORIES, STIM_ID
 from .specs import epochs, load_config, spec_table
 
@@ -151,6 +152,26 @@ def eye_traces(spark, d):
     return W.eye_traces(e, "left", "right", "likelihood", "likelihood", "pos", KEYS).select("event_id", r6("left", "left_angle"), r6("right", "right_angle"))
 
 
+@query(f"""WITH {_TRIALS}, tk AS (SELECT user_id, us, max(value) AS x, CAST(max(event_id % 100) AS DOUBLE) AS y FROM e GROUP BY ALL),
+sg AS (SELECT t.user_id, t.stim, t.trial_num, tk.us, x, y, x - floor(x / (2 * pi())) * 2 * pi() - pi() AS th FROM tk JOIN t ON tk.user_id = t.user_id AND us BETWEEN start AND stop),
+a AS (SELECT *, (us - first_value(us) OVER w) * 1e-6 AS tt, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) / 2 AS step, th - lag(th) OVER w AS dd FROM sg WINDOW w AS (PARTITION BY user_id, stim, trial_num ORDER BY us)),
+b AS (SELECT *, sum(coalesce(step, 0)) OVER r AS distance, sqrt(pow(x / 2 - 20, 2) + pow(y / 2 - 20, 2)) AS distance_center, step / nullif(tt - lag(tt) OVER w, 0) AS speed, th + sum(coalesce(-2 * pi() * floor((dd + pi()) / (2 * pi())), 0)) OVER r AS un
+      FROM a WINDOW w AS (PARTITION BY user_id, stim, trial_num ORDER BY us), r AS (PARTITION BY user_id, stim, trial_num ORDER BY us ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, un - first_value(un) OVER (PARTITION BY user_id, stim, trial_num ORDER BY us) AS theta FROM b),
+v AS (SELECT user_id, stim, trial_num, tt, u.name, u.v FROM c, LATERAL (VALUES ('distance', distance), ('distance_center', distance_center), ('speed', speed), ('theta', theta)) u(name, v) WHERE u.v IS NOT NULL),
+g AS (SELECT DISTINCT user_id, stim, trial_num, name, k AS sample, k * 43200.0::DOUBLE AS time FROM c, (SELECT unnest(range(8)) AS k), (SELECT unnest(['distance', 'distance_center', 'speed', 'theta']) AS name)),
+p AS (SELECT g.*, v.tt AS ta, v.v AS va FROM g ASOF LEFT JOIN v ON g.user_id = v.user_id AND g.stim = v.stim AND g.trial_num = v.trial_num AND g.name = v.name AND g.time >= v.tt),
+q AS (SELECT p.*, v.tt AS tb, v.v AS vb FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.stim = v.stim AND p.trial_num = v.trial_num AND p.name = v.name AND p.time <= v.tt),
+z AS (SELECT *, CASE WHEN ta IS NULL THEN vb WHEN tb IS NULL THEN va WHEN tb = ta THEN va ELSE va + (vb - va) * (time - ta) / (tb - ta) END AS o FROM q)
+SELECT user_id, stim, trial_num, CAST(sample AS INTEGER) AS sample, round(max(o) FILTER (name = 'distance'), 5) AS distance, round(max(o) FILTER (name = 'distance_center'), 5) AS distance_center, round(max(o) FILTER (name = 'speed'), 5) AS speed, round(max(o) FILTER (name = 'theta'), 5) AS theta FROM z GROUP BY ALL""")
+def time_series(spark, d):
+    e = events(spark, d)
+    th = (G.floor_mod("x", 2 * math.pi) - math.pi).alias("th")
+    tracking = e.groupBy("user_id", "us").agg(F.max("value").alias("x"), F.max(F.pmod("event_id", F.lit(100))).cast("double").alias("y")).select("user_id", "us", "x", "y", th)
+    t = W.time_series(tracking, trials_of(e).withColumn("condition", F.lit("c")), KEYS, "us", "x", "y", "th", F.lit(20.0), F.lit(20.0), 0.5, 345600.0, 1 / 43200, 1e-6)
+    return t.select("user_id", "stim", "trial_num", "sample", *(F.round(c, 5).alias(c) for c in ("distance", "distance_center", "speed", "theta")))
+
+
 @query("WITH m AS (SELECT event_id % 30 AS sample, CASE WHEN event_id % 4 <> 0 THEN value END AS v FROM events) SELECT sample, round(avg(v), 6) AS mean FROM m GROUP BY sample")
 def mean_over_traces(spark, d):
     e = events(spark, d).select("event_id", F.pmod("event_id", F.lit(30)).alias("sample"), F.when(F.col("event_id") % 4 != 0, F.col("value")).otherwise(F.lit(float("nan"))).alias("v"))
