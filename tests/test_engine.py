@@ -431,11 +431,14 @@ def test_mixed_model_against_generalised_least_squares(spark):
     out = {o.term: o for o in mixed_model(spark.createDataFrame(rows + [(1, 0.0, None, 3.0), (1, 0.0, 1.0, float("nan"))], "fish int, g double, x double, y double"), "fish", "y", ["g", "x"]).collect()}
     any_ = out["x"]
     a = np.array(rows)
-    z, y, fish = np.column_stack((np.ones(len(a)), a[:, 1], a[:, 2])), a[:, 3], a[:, 0]
-    cov = np.where(fish[:, None] == fish[None, :], any_.subject_var, 0.0) + np.eye(len(a)) * any_.residual_var
-    w = np.linalg.inv(cov)
-    inv = np.linalg.inv(z.T @ w @ z)
-    beta = inv @ z.T @ w @ y
+    left, right = np.zeros((3, 3)), np.zeros(3)
+    for fish in range(60):  # one animal's rows at a time
+        own = a[a[:, 0] == fish]
+        z = np.column_stack((np.ones(len(own)), own[:, 1], own[:, 2]))
+        w = np.linalg.inv(any_.subject_var + np.eye(len(own)) * any_.residual_var)
+        left, right = left + z.T @ w @ z, right + z.T @ w @ own[:, 3]
+    inv = np.linalg.inv(left)
+    beta = inv @ right
     for k, t in enumerate(("(Intercept)", "g", "x")):
         assert abs(out[t].estimate - beta[k]) < 1e-8 and abs(out[t].std_error - np.sqrt(inv[k, k])) < 1e-8
     assert abs(any_.subject_var - 4) < 2 and abs(any_.residual_var - 1) < 0.3
