@@ -371,9 +371,9 @@ def tracking_by_animal(spark, d):
 @query("SELECT event_id AS frame, CASE WHEN event_id % 3 <> 0 THEN value END AS Head_x, CAST(event_id % 50 AS DOUBLE) AS Head_y, 0.5::DOUBLE AS Head_likelihood, CAST(NULL AS DOUBLE) AS Tail_0_x FROM events")
 def pose_csv(spark, d):
     at, k = folder(spark), F.col("event_id")
-    rows = events(spark, d).select(k.alias("n"), F.concat_ws(",", k.cast("string"), F.when(k % 3 != 0, F.col("value").cast("string")).otherwise(F.lit("")), F.pmod("event_id", F.lit(50)).cast("string"), F.lit("0.5")).alias("value"))
-    head = spark.createDataFrame([(-3, "scorer,s,s,s"), (-2, "bodyparts,Head,Head,Head"), (-1, "coords,x,y,likelihood")], "n long, value string")
-    head.unionAll(rows).coalesce(1).sortWithinPartitions("n").select("value").write.text(at)
+    x = F.coalesce(F.when(k % 3 != 0, F.col("value").cast("string")), F.lit(""))
+    rows = events(spark, d).select(F.concat_ws(",", k.cast("string"), x, F.pmod("event_id", F.lit(50)).cast("string"), F.lit("0.5")).alias("value"))
+    K.write_lines(rows, at, ["scorer,s,s,s", "bodyparts,Head,Head,Head", "coords,x,y,likelihood"])
     return files_.read_pose(spark, f"{at}/*.txt", ["Head", "Tail_0"]).select("frame", "Head_x", "Head_y", "Head_likelihood", "Tail_0_x")
 
 

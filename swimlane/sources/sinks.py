@@ -23,6 +23,17 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False, append: bool =
     df.select(*flat).write.mode("append" if append else "overwrite" if overwrite else "ignore").csv(path, header=True)
 
 
+def write_lines(lines: DataFrame, path: str, head: list[str]) -> None:
+    """A folder of text files, one a partition, each with the same header lines before its own rows (``value``), in the order in which they come.
+
+    Nothing is moved or sorted, so a task holds a row at a time. One more file is the header alone: it is there without any rows too.
+    """
+    top = F.lit("\n".join(head))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the lower 33 bits count a partition's rows
+    body = lines.select(F.when(first, F.concat(top, F.lit("\n"), "value")).otherwise(F.col("value")).alias("value"))
+    body.unionAll(lines.sparkSession.range(0, 1, 1, 1).select(top.alias("value"))).write.text(path)
+
+
 def split_by_roi(tracking: DataFrame, rois: DataFrame, x_suffix: str = "_x", y_suffix: str = "_y") -> DataFrame:
     """Every animal's rows with coordinates from its own rectangle's corner; ``rois`` is (file, identity, x, y)."""
     d = tracking.join(rois.select("file", "identity", F.col("x").alias("_rx"), F.col("y").alias("_ry")), ["file", "identity"])

@@ -185,3 +185,18 @@ def test_columns_are_found_by_name_in_each_file_of_any_file_system(spark, tmp_pa
         S.read_pose(spark, f"{tmp_path}/temperature_z.csv", ["Head"])
     with pytest.raises(FileNotFoundError):
         S.load(spark, {"metadata": f"{tmp_path}/none.metadata"})
+
+
+def test_pose_tables_are_written_by_every_task(spark, sf, tmp_path):
+    """A file a partition, each with its header, and none sorted by one task; a missing value is an empty field, and no rows leave a header."""
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("value", F.expr("if(event_id = 7, null, value)"))
+    e.repartition(4).write.parquet(f"{tmp_path}/some/events.parquet")
+    e.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    p = catalog.QUERIES["pose_csv"](spark, f"{tmp_path}/some")
+    texts = [Path(f.removeprefix("file://")).read_text().splitlines() for f in p.inputFiles()]
+    assert len(texts) == 5 and all(t[:3] == ["scorer,s,s,s", "bodyparts,Head,Head,Head", "coords,x,y,likelihood"] for t in texts)
+    assert sorted(x for t in texts for x in t[3:] if x[0] in "sbc") == [] and sum(len(t) - 3 for t in texts) == e.count() > max(len(t) for t in texts)
+    want = {(r.event_id, None if r.event_id % 3 == 0 else r.value, float(r.event_id % 50), 0.5, None) for r in e.collect()}
+    got = [tuple(r) for r in p.collect()]
+    assert len(got) == len(want) and set(got) == want and (7, None, 7.0, 0.5, None) in want
+    assert catalog.QUERIES["pose_csv"](spark, f"{tmp_path}/none").collect() == []
