@@ -336,8 +336,11 @@ def timestamps_csv(spark, d):
 def stimuli_json(spark, d):
     at = folder(spark)
     s = events(spark, d).where("event_type = 'signup'").select(F.col("us").alias("timestamp"), F.pmod("event_id", F.lit(12)).alias("stim_select"), F.col("value").alias("omr_angle_deg"), "event_id")
-    s.coalesce(1).sortWithinPartitions("timestamp", "event_id").select(F.to_json(F.struct("timestamp", "stim_select", "omr_angle_deg")).alias("value")).write.text(at)
-    return files_.read_stimuli(spark, f"{at}/*.txt").select(F.col("position").cast("long").alias("position"), "timestamp", "stim_select", "omr_angle_deg")
+    s.orderBy("timestamp", "event_id").select(F.to_json(F.struct("timestamp", "stim_select", "omr_angle_deg")).alias("value")).write.text(at)
+    # the log's parts are in order by name; a row a part, so one partition holds them
+    above = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    parts = spark.read.text(f"{at}/*.txt").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n")).withColumn("file", files_.file_stem(F.col("path"))).select("file", F.coalesce(above, F.lit(0)).alias("above"))
+    return files_.read_stimuli(spark, f"{at}/*.txt").join(F.broadcast(parts), "file").select((F.col("position") + F.col("above")).alias("position"), "timestamp", "stim_select", "omr_angle_deg")
 
 
 def _metadata(spark, d) -> DataFrame:

@@ -31,7 +31,7 @@ TIMESTAMPS = "index long, timestamp long"
 
 def file_stem(path: Column) -> Column:
     """The name of a path's last part without folder and last extension."""
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]+$", "")
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]+$", "")  # one pass: it may be taken for every row
 
 
 def with_file(df: DataFrame, prefix: str = "") -> DataFrame:
@@ -101,10 +101,40 @@ def read_metadata(spark: SparkSession, path) -> DataFrame:
     return with_file(spark.read.schema(METADATA).json(path, multiLine=True))
 
 
+def placed_lines(spark: SparkSession, path) -> DataFrame:
+    """(path, position, line): lines of text files with their place in their file, from 0.
+
+    Lines are counted as tasks read them, in each part of a file, and the lines of its earlier parts added: no task holds a file, and no line is moved.
+    """
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at, n = None, 0  # the part that the last line was in, and its lines so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            i, begins = np.arange(b.num_rows), np.ones(b.num_rows, bool)
+            begins[0] = at != (b["path"][0].as_py(), b["part"][0].as_py())
+            begins[1:] = pc.or_(*(pc.not_equal(b[c][1:], b[c][:-1]) for c in ("path", "part"))).to_numpy(zero_copy_only=False)
+            place = i - np.maximum.accumulate(np.where(begins, i, -n))
+            at, n = (b["path"][-1].as_py(), b["part"][-1].as_py()), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64())], names=[*b.schema.names, "place"])
+
+    read = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), "value")
+    lines = read.mapInArrow(count, "path string, part long, value string, place long")
+    above = F.sum("n").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    later = read.groupBy("path", "part").agg(F.count("*").alias("n")).withColumn("above", above).where("part > 0").select("path", "part", "above")
+    # a row for each part of a file but its first, most files have but one
+    out = lines.join(F.broadcast(later), ["path", "part"], "left")
+    return out.select("path", (F.col("place") + F.coalesce("above", F.lit(0))).cast("int").alias("position"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+
+
 def read_stimuli(spark: SparkSession, path) -> DataFrame:
-    """JSON lines with ``position``, a line's place in its file: files are read whole, so that order is known."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace(file_stem(F.col("_metadata.file_path")), "^stim_", "").alias("file"), "value")
-    lines = text.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("position", "line")).where("trim(line) <> ''")
+    """JSON lines with ``position``, a line's place in its file."""
+    lines = placed_lines(spark, path).where("trim(line) <> ''").withColumn("file", F.regexp_replace(file_stem(F.col("path")), "^stim_", ""))
     return lines.select("file", "position", F.from_json("line", STIMULI).alias("s")).select("file", "position", "s.*")
 
 

@@ -200,3 +200,27 @@ def test_pose_tables_are_written_by_every_task(spark, sf, tmp_path):
     got = [tuple(r) for r in p.collect()]
     assert len(got) == len(want) and set(got) == want and (7, None, 7.0, 0.5, None) in want
     assert catalog.QUERIES["pose_csv"](spark, f"{tmp_path}/none").collect() == []
+
+
+def test_stimulus_logs_are_in_no_single_task(spark, sf, tmp_path):
+    """A log keeps its lines' places however a table is split, and none is one row or sorted by one task."""
+    for name, end in (("stim_a", "\n"), ("stim_b", "\r\n")):
+        (tmp_path / f"{name}.json").write_bytes(end.join(json.dumps({"timestamp": i, "omr_angle_deg": i / 2}) if i % 10 else " " for i in range(400)).encode())
+    (tmp_path / "stim_c.json").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for size in ("997b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = S.read_stimuli(spark, f"{tmp_path}/stim_*.json")
+            assert sorted((r.file, r.position, r.timestamp, r.omr_angle_deg) for r in got.collect()) == [(f, i, i, i / 2) for f in "ab" for i in range(400) if i % 10]
+            assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts of a small table
+        q = catalog.QUERIES["stimuli_json"](spark, sf)
+        assert len(set(q.inputFiles())) > 1
+        e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'signup'").orderBy("ts", "event_id").collect()
+        assert [(r.position, r.stim_select, r.omr_angle_deg) for r in q.orderBy("position").collect()] == [(i, r.event_id % 12, r.value) for i, r in enumerate(e)]
+        spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+        assert catalog.QUERIES["stimuli_json"](spark, f"{tmp_path}/none").collect() == []
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
