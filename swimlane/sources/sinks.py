@@ -31,7 +31,7 @@ def write_lines(lines: DataFrame, path: str, head: list[str]) -> None:
     top = F.lit("\n".join(head))
     first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the lower 33 bits count a partition's rows
     body = lines.select(F.when(first, F.concat(top, F.lit("\n"), "value")).otherwise(F.col("value")).alias("value"))
-    body.unionAll(lines.sparkSession.range(0, 1, 1, 1).select(top.alias("value"))).write.text(path)
+    body.unionAll(lines.sparkSession.range(0, 1, 1, 1).select(top.alias("value"))).write.option("maxRecordsPerFile", 0).text(path)  # a file that is cut would go on without a header
 
 
 def split_by_roi(tracking: DataFrame, rois: DataFrame, x_suffix: str = "_x", y_suffix: str = "_y") -> DataFrame:
